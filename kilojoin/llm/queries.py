@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoin.llm import bpe, simhash, token_store
+from kilojoin.llm import bpe, chat, mixing, simhash, token_store, toxicity
 from kilojoin.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,10 +30,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_column(F.col("code")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.replicate(docs)
+
+
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=1, folds=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_shards": op5_token_shards,
+    "op6_chat_snapshots": op6_chat_snapshots,
     "op7_simhash": op7_simhash,
+    "op8_poisson_mixing": op8_poisson_mixing,
+    "op10_toxic_segments": op10_toxic_segments,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op8_poisson_mixing": mixing.ORACLE}
