@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoin.llm import bpe, chat, mixing, simhash, token_store, toxicity
+from kilojoin.llm import bpe, chat, mixing, pii, simhash, token_store, toxicity
 from kilojoin.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", own.alias("own")).select("doc_id", "own.*")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), end=2)
 
@@ -45,6 +49,7 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_disclosure": op4_disclosure,
     "op5_token_shards": op5_token_shards,
     "op6_chat_snapshots": op6_chat_snapshots,
     "op7_simhash": op7_simhash,
