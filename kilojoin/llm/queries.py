@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoin.llm import bpe, chat, mixing, pii, simhash, token_store, toxicity
+from kilojoin.llm import bpe, chat, language, mixing, pii, quality, simhash, token_store, toxicity
 from kilojoin.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), held_out=2, folds=4)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     own = bpe.round_trip_column(F.col("text"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -48,6 +56,8 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_crf": op1_line_crf,
+    "op2_centroid_language": op2_centroid_language,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_disclosure": op4_disclosure,
     "op5_token_shards": op5_token_shards,
