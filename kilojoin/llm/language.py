@@ -26,6 +26,8 @@ from kilojoin.llm.common import crc_class
 DIMS = 4096
 #: Centroids of a language, learned documents of each that are clustered (expected), languages at most.
 CENTROIDS, SAMPLE, LANGUAGES = 3, 700, 300
+#: Share of a language's sample that a centroid stands for at least.
+FEW = 0.03
 #: Share of a centroid's members that lie closer than its limit.
 INSIDE = 0.99
 UNKNOWN = "und"
@@ -82,6 +84,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.nda
         if np.allclose(new, c, atol=1e-6):
             break
         c = new
+    sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    c = c[sizes >= min(sizes.max(), max(2, FEW * len(x)))]  # a few outliers are no variety of the language
     cosine = x @ c.T
     near, own = cosine.argmax(1), cosine.max(1)
     limit = np.array([np.quantile(own[near == i], 1 - INSIDE) if (near == i).any() else 0.0 for i in range(len(c))])
@@ -135,7 +139,7 @@ def learn(docs: DataFrame, held_out: int = 2, folds: int = 4, k: int = CENTROIDS
     sample = own.join(F.broadcast(sizes), "lang").where(chance < size / F.col("n"))
 
     def centroids(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, there = vectors(rows.sort_values(["doc_id", "text"])["text"].tolist(), idf)
+        x, there = vectors(rows["text"].drop_duplicates().sort_values().tolist(), idf)
         c, limit = cluster(x[there], k) if there.any() else (np.zeros((0, DIMS)), np.zeros(0))
         return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tobytes() for v in c], "limit": limit})
 

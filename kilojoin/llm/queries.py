@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoin.llm import bpe, chat, language, mixing, pii, quality, simhash, token_store, toxicity
+from kilojoin.llm import bpe, chat, language, mixing, pii, quality, simhash, token_store, topk, toxicity
 from kilojoin.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs)
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=1, folds=3)
 
@@ -64,7 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_snapshots": op6_chat_snapshots,
     "op7_simhash": op7_simhash,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_bit_sliced": op9_bit_sliced,
     "op10_toxic_segments": op10_toxic_segments,
 }
 
-ORACLES: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op8_poisson_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op8_poisson_mixing": mixing.ORACLE, "op9_bit_sliced": topk.ORACLE}
