@@ -245,21 +245,22 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def round_trip_column(text: Column, path: str, pattern: str) -> Column:
-    """struct<n_tokens, ids_sha256, decoded_sha256>: encodes, decodes the ids, and digests both without sending the ids back to the JVM."""
+def round_trip_column(text: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256> (and ids): encodes, decodes the ids, and digests both where they are."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         for batch in batches:
             ids = own.encode([t or "" for t in batch])
-            yield pd.DataFrame(
-                {
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
-                }
-            )
+            out = {
+                "n_tokens": [len(x) // 4 for x in ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
+            }
+            if with_ids:
+                out["ids"] = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
+            yield pd.DataFrame(out)
 
     return digest(text)
 
