@@ -17,6 +17,7 @@ each other and all are kept; an empty table gives no shards.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,8 +36,8 @@ from kilojoin.llm.common import groups, shared_dir
 SHARD_TOKENS = 1_000_000
 #: Bits in a block that is compressed on its own.
 BLOCK_BITS = 1 << 19
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words, and pieces of words, whose ids a worker remembers.
+REMEMBERED = 700_000
 #: Characters of text whose new words go to the tokenizer together.
 GROUP_CHARS = 4_000_000
 MAGIC = b"KJWM"
@@ -171,18 +172,58 @@ class WaveletMatrix:
         return own.astype(np.uint32)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in a byte-level vocabulary (fixed values): printable Latin-1 characters for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """The ids of whole texts from a tokenizer that drops white space: each distinct word goes through the library once.
 
     The tokenizer's normaliser and pre-tokenizer never join across a space, tab or line feed, so a text's ids are
-    those of its words in order. Other white space stays inside the words that the library gets.
+    those of its words in order. Most words are Latin letters and then marks: such letters are one piece, which goes
+    lower-cased to the library's model, once for all its capitals and marks; the marks are another piece. All other
+    words, and other white space inside them, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.piece = self.library.model.tokenize
+        self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?()#*$%&|]*)").fullmatch
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
+        return (_pack(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+
+    def learn(self, words: set[str]) -> None:
+        pieces, other = self.pieces, []
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+        for w in words:
+            m = self.plain(w)
+            if m is None:
+                other.append(w)
+                continue
+            letters, marks = m.groups()
+            low = letters.lower()
+            own = pieces.get(low)
+            if own is None:
+                text = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                own = pieces[low] = _pack([t.id for t in self.piece(text)])
+            if marks:
+                tail = pieces.get(marks)
+                if tail is None:
+                    (tail,) = self._whole([marks])
+                    pieces[marks] = tail
+                own += tail
+            self.words[w] = own
+        self.words.update(zip(other, self._whole(other), strict=True))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         out, last = [], end.to_bytes(4, "little")
@@ -191,18 +232,21 @@ class WordEncoder:
             new: set[str] = set()
             for words in split:
                 new.update(words)
-            fresh = new.difference(self.seen)
-            if len(self.seen) + len(fresh) > REMEMBERED:
-                self.seen.clear()
+            fresh = new.difference(self.words)
+            if len(self.words) + len(fresh) > REMEMBERED:
+                self.words.clear()
                 fresh = new
-            words = list(fresh)
-            for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.seen[w] = struct.pack(f"<{len(ids)}I", *ids)
-            out += [np.frombuffer(b"".join(map(self.seen.__getitem__, words)) + last, "<u4") for words in split]
+            self.learn(fresh)
+            own = self.words.__getitem__
+            out += [np.frombuffer(b"".join(map(own, words)) + last, "<u4") for words in split]
         return out
 
 
+def _pack(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
