@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kilojoin.llm.common import groups, shared_dir
+from kilojoin.llm.common import shared_dir
 
 #: Tokens after which a task closes a shard (at the end of a document).
 SHARD_TOKENS = 1_000_000
@@ -38,8 +38,6 @@ SHARD_TOKENS = 1_000_000
 BLOCK_BITS = 1 << 19
 #: Words, and pieces of words, whose ids a worker remembers.
 REMEMBERED = 700_000
-#: Characters of text whose new words go to the tokenizer together.
-GROUP_CHARS = 4_000_000
 MAGIC = b"KJWM"
 
 SHARD_SCHEMA = T.StructType(
@@ -179,13 +177,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """The ids of whole texts from a tokenizer that drops white space: each distinct word goes through the library once.
+class WordEncoder(dict):
+    """The ids of each word from a tokenizer that drops white space; a word that is new goes through the library.
 
-    The tokenizer's normaliser and pre-tokenizer never join across a space, tab or line feed, so a text's ids are
-    those of its words in order. Most words are Latin letters and then marks: such letters are one piece, which goes
-    lower-cased to the library's model, once for all its capitals and marks; the marks are another piece. All other
-    words, and other white space inside them, go through the whole tokenizer.
+    The tokenizer's normaliser and pre-tokenizer never join across ASCII white space, so a text's ids are those of its
+    words in order. Most words are Latin letters and then marks: such letters are one piece, which goes lower-cased to
+    the library's model, once for all its capitals and marks; the marks are another piece. All other words, and other
+    white space inside them, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -195,51 +193,38 @@ class WordEncoder:
         self.piece = self.library.model.tokenize
         self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?()#*$%&|]*)").fullmatch
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, words: list[str]) -> Iterator[bytes]:
-        return (_pack(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+    def _whole(self, word: str) -> bytes:
+        return _pack(self.library.encode(word, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> None:
-        pieces, other = self.pieces, []
+    def __missing__(self, word: bytes) -> bytes:
+        pieces, text = self.pieces, word.decode()
+        if len(self) > REMEMBERED:
+            self.clear()
         if len(pieces) > REMEMBERED:
             pieces.clear()
-        for w in words:
-            m = self.plain(w)
-            if m is None:
-                other.append(w)
-                continue
+        m = self.plain(text)
+        if m is None:
+            own = self._whole(text)
+        else:
             letters, marks = m.groups()
             low = letters.lower()
             own = pieces.get(low)
             if own is None:
-                text = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                own = pieces[low] = _pack([t.id for t in self.piece(text)])
+                bytes_ = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                own = pieces[low] = _pack([t.id for t in self.piece(bytes_)])
             if marks:
                 tail = pieces.get(marks)
                 if tail is None:
-                    (tail,) = self._whole([marks])
-                    pieces[marks] = tail
+                    tail = pieces[marks] = self._whole(marks)
                 own += tail
-            self.words[w] = own
-        self.words.update(zip(other, self._whole(other), strict=True))
+        self[word] = own
+        return own
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        out, last = [], end.to_bytes(4, "little")
-        for part in groups(texts, GROUP_CHARS):
-            split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in part]
-            new: set[str] = set()
-            for words in split:
-                new.update(words)
-            fresh = new.difference(self.words)
-            if len(self.words) + len(fresh) > REMEMBERED:
-                self.words.clear()
-                fresh = new
-            self.learn(fresh)
-            own = self.words.__getitem__
-            out += [np.frombuffer(b"".join(map(own, words)) + last, "<u4") for words in split]
-        return out
+        own, last = self.__getitem__, end.to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(own, t.encode().split())) + last, "<u4") for t in texts]
 
 
 def _pack(ids: list[int]) -> bytes:
