@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row; a plan with nested expressions stays linear in their depth."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nan() -> Column:
     return F.lit(float("nan"))
 
@@ -100,12 +107,12 @@ def interpolate(x0: Column, x1: Column, y0: Column, y1: Column, x: Column, metho
         "linear": F.when(step, invalid()).otherwise(val(linear(x0, x1, y0, y1, x), "E")),
         "last": val(F.when(step, F.when(x < x0, y0).otherwise(y1)).otherwise(nearest(x0, x1, y0, y1, x)), "E"),
         "none": invalid(),
-        "error": F.when(F.raise_error(F.lit("extrapolation is not allowed")).isNull(), invalid()).otherwise(invalid()),
+        "error": val(F.raise_error(F.lit("extrapolation is not allowed")), "X"),
     }
     outside = val(F.lit(float(beyond)), "E") if isinstance(beyond, (int, float)) else out[beyond]
     return (
         F.when(x.isNull() | F.isnan(x) | F.isnan(x0) | F.isnan(x1), invalid())
-        .when(x0 > x1, F.when(F.raise_error(F.lit("the axis falls")).isNull(), invalid()).otherwise(invalid()))
+        .when(x0 > x1, val(F.raise_error(F.lit("the axis falls")), "X"))
         .when(step & (x == x0), val((y0 + y1) / 2, "I"))
         .when(~step & (x == x0), val(y0, "I"))
         .when(~step & (x == x1), val(y1, "I"))

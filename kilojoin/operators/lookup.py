@@ -32,29 +32,41 @@ def check_axis(xs: Sequence[float], strict: bool = False) -> None:
 
 def bracket(xs: Column, n: int, x: Column) -> Column:
     """The right end (from 1 on, counted from 0) of the interval that x falls into; the outer intervals stand for what lies beyond."""
-    upto = F.size(F.filter(xs, lambda a: a <= x))
-    step = (upto >= 2) & (F.get(xs, upto - 2) == F.get(xs, upto - 1)) & (F.get(xs, upto - 1) == x)
-    return F.when(upto == 0, 1).when(upto == n, n - 1).when(step, upto - 1).otherwise(upto)
+
+    def place(upto: Column) -> Column:
+        step = (upto >= 2) & (F.get(xs, upto - 2) == F.get(xs, upto - 1)) & (F.get(xs, upto - 1) == x)
+        return F.when(upto == 0, 1).when(upto == n, n - 1).when(step, upto - 1).otherwise(upto)
+
+    return exprs.let(F.size(F.filter(xs, lambda a: a <= x)), place)
+
+
+def _on_axis(xs: Sequence[float], x: Column, values: Column, join) -> Column:
+    """join(x0, x1, a, b, x) at the interval of x; each part is worked out once a row, however deep lookups are nested."""
+    check_axis(xs)
+    ax = _array(xs)
+
+    def ends(i: Column) -> Column:
+        return F.struct(F.get(ax, i - 1).alias("x0"), F.get(ax, i).alias("x1"), F.get(values, i - 1).alias("a"), F.get(values, i).alias("b"))
+
+    return exprs.let(x.cast("double"), lambda at: exprs.let(exprs.let(bracket(ax, len(xs), at), ends), lambda p: join(p["x0"], p["x1"], p["a"], p["b"], at)))
 
 
 def interp1(xs: Sequence[float], ys: Sequence[float], x: Column, method: str = "linear", beyond: str | float = "none") -> Column:
     """struct<v, q> of a curve at x."""
-    check_axis(xs)
     if len(xs) != len(ys):
         raise ValueError("axis and values differ in length")
-    ax, ay = _array(xs), _array(ys)
-    i = bracket(ax, len(xs), x)
-    return exprs.interpolate(F.get(ax, i - 1), F.get(ax, i), F.get(ay, i - 1), F.get(ay, i), x, method, beyond)
+    return _on_axis(xs, x, _array(ys), lambda x0, x1, a, b, at: exprs.interpolate(x0, x1, a, b, at, method, beyond))
 
 
 def _between(xs: Sequence[float], x: Column, values: list[Column], method: str, beyond: str | float) -> Column:
     """Interpolates along xs between values (struct<v, q>) that are there already."""
-    check_axis(xs)
-    ax, all_ = _array(xs), F.array(*values)
-    i = bracket(ax, len(xs), x)
-    a, b = F.get(all_, i - 1), F.get(all_, i)
-    own = exprs.interpolate(F.get(ax, i - 1), F.get(ax, i), a["v"], b["v"], x, method, beyond)
-    return exprs.combine(own, exprs.combine(a, b, lambda p, q: p), lambda p, q: p)
+    first = lambda p, q: p
+
+    def join(x0: Column, x1: Column, a: Column, b: Column, at: Column) -> Column:
+        own = exprs.interpolate(x0, x1, a["v"], b["v"], at, method, beyond)
+        return exprs.let(F.struct(own.alias("own"), exprs.combine(a, b, first).alias("ends")), lambda s: exprs.combine(s["own"], s["ends"], first))
+
+    return exprs.let(F.array(*values), lambda all_: _on_axis(xs, x, all_, join))
 
 
 def interp2(xs: Sequence[float], ys: Sequence[Sequence[float]], zs: Sequence[Sequence[float]], x: Column, y: Column, method: str = "linear", beyond: str | float = "none") -> Column:
