@@ -7,11 +7,13 @@ with different indices align these first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilojoin.functions import exprs
+
 
 def record(before: Column, after: Column) -> Column:
     """struct<before, delta, after>."""
@@ -22,28 +24,41 @@ def record_from_delta(before: Column, delta: Column) -> Column:
     return F.struct(before.alias("before"), delta.alias("delta"), (before + delta).alias("after"))
 
 
-def multi_to_stack(values: Column, n: int) -> Column:
-    """Differences of a multi-value: for each index the values after less those before."""
+def _along(values: Column, n: int, f: Callable[[Column, Column], Column]) -> Column:
+    """For each index, f(after, before) in place of each value after its change."""
+
+    def one(i: int) -> Callable[[Column], Column]:
+        return lambda v: F.array(*[f(F.get(v, k), F.get(v, k ^ 1 << i)) if k >> i & 1 else F.get(v, k) for k in range(1 << n)])
+
     for i in range(n):
-        values = F.array(*[F.get(values, k) - F.get(values, k ^ 1 << i) if k >> i & 1 else F.get(values, k) for k in range(1 << n)])
+        values = exprs.let(values, one(i))
     return values
 
 
+def multi_to_stack(values: Column, n: int) -> Column:
+    """Differences of a multi-value: for each index the values after less those before."""
+    return _along(values, n, lambda after, before: after - before)
+
+
 def stack_to_multi(values: Column, n: int) -> Column:
-    for i in range(n):
-        values = F.array(*[F.get(values, k) + F.get(values, k ^ 1 << i) if k >> i & 1 else F.get(values, k) for k in range(1 << n)])
-    return values
+    return _along(values, n, lambda delta, before: delta + before)
 
 
 def align(values: Column, own: Sequence[str], all_: Sequence[str], stack: bool) -> Column:
     """A value of fewer indices over more: a multi-value repeats, a stack has no difference along the new ones."""
+    if list(own) == list(all_):
+        return values
     at = {name: i for i, name in enumerate(all_)}
-    out = []
-    for k in range(1 << len(all_)):
-        place = sum(1 << j for j, name in enumerate(own) if k >> at[name] & 1)
-        new = any(k >> at[name] & 1 for name in all_ if name not in own)
-        out.append(F.lit(0.0) if stack and new else F.get(values, place))
-    return F.array(*out)
+
+    def spread(v: Column) -> Column:
+        out = []
+        for k in range(1 << len(all_)):
+            place = sum(1 << j for j, name in enumerate(own) if k >> at[name] & 1)
+            new = any(k >> at[name] & 1 for name in all_ if name not in own)
+            out.append(F.lit(0.0) if stack and new else F.get(v, place))
+        return F.array(*out)
+
+    return exprs.let(values, spread)
 
 
 class Stack:
@@ -91,12 +106,12 @@ class Stack:
         """The sum of the terms in which these indices are before, those delta."""
         at = {name: i for i, name in enumerate(self.indices)}
         keep = [k for k in range(1 << len(self.indices)) if not any(k >> at[i] & 1 for i in before) and all(k >> at[i] & 1 for i in delta)]
-        return sum((F.get(self.values, k) for k in keep[1:]), F.get(self.values, keep[0]))
+        return exprs.let(self.values, lambda v: sum((F.get(v, k) for k in keep[1:]), F.get(v, keep[0])))
 
     def terms(self) -> Column:
         """map of the changed indices of each term (joined by ,) to its value."""
         keys = [",".join(name for i, name in enumerate(self.indices) if k >> i & 1) or "before" for k in range(1 << len(self.indices))]
-        return F.create_map(*[x for k, key in enumerate(keys) for x in (F.lit(key), F.get(self.values, k))])
+        return exprs.let(self.values, lambda v: F.create_map(*[x for k, key in enumerate(keys) for x in (F.lit(key), F.get(v, k))]))
 
 
 def mix_total(mix: Column) -> Column:

@@ -56,7 +56,7 @@ def test_best_index_cases(spark):
     eta = [1.0, 2.0, 3.0]
 
     def best(objs, oks):
-        rows = spark.createDataFrame([(0, i, o, e, k) for i, (o, e, k) in enumerate(zip(objs, eta, oks, strict=True))], "g int, i int, obj double, eta double, ok boolean")
+        rows = spark.createDataFrame([(0, i, float(o), float(e), k) for i, (o, e, k) in enumerate(zip(objs, eta, oks, strict=True))], "g int, i int, obj double, eta double, ok boolean")
         got = optimise.find_best(rows, ["g"], condition=F.col("ok")).collect()
         return tuple(got[0])[1:] if got else None
 
