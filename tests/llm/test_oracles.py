@@ -1,0 +1,65 @@
+"""Queries with SQL give the rows that DuckDB gives; all queries return every row of their tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from kilojoin.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+
+
+def norm(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+    return v
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, DATA)
+    cur = duck.execute(queries.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    got = sorted((tuple(norm(r[c]) for c in names) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(map(norm, r)) for r in cur.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op10")])
+def test_a_row_for_each_document(spark, name):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in queries.QUERIES[name](spark, DATA).select("doc_id").collect()) == ids
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    clean = corpus_pipeline.drop_toxic(spark, docs, DATA).cache()
+    toxic = queries.QUERIES["op10_toxic_segments"](spark, DATA).where("predicted = 1").select("doc_id")
+    assert {r[0] for r in docs.join(toxic, "doc_id", "left_anti").select("doc_id").collect()} == {r[0] for r in clean.select("doc_id").collect()}
+    single = corpus_pipeline.drop_near_copies(spark, clean, DATA).cache()
+    assert single.columns == docs.columns and 0 < single.count() < clean.count()
+    safe = corpus_pipeline.sanitise(spark, single, DATA).cache()
+    assert safe.columns == docs.columns and safe.count() == single.count()
+    assert safe.where("text like '%[EMAIL]%'").count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, safe, DATA)
+    assert mixed.columns == docs.columns
+    assert {r[0] for r in mixed.select("doc_id").collect()} <= {r[0] for r in safe.select("doc_id").collect()}
+    out = corpus_pipeline.encode(spark, mixed, DATA)
+    assert out.count() == mixed.count() and out.where("size(ids) <> n_tokens").count() == 0
+
+
+def test_stages_are_registered():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "pii", "mixing", "bpe"]
+    assert corpus_pipeline.ORACLE_SQL is None
