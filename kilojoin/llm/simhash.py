@@ -40,6 +40,8 @@ FAN = 16
 BUCKET = 4096
 #: Fingerprints of one bucket that go to one task; larger buckets are cut into runs.
 RUN = 2048
+#: Codes that hold more than one row in so many are joined by a broadcast; there can't be as many of them.
+HOT = 1000
 #: (searcher, node) pairs looked at together.
 FRONT = 1 << 20
 
@@ -288,7 +290,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_copies(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, code (long), component_id of every row of docs (doc_id, text)."""
     prints = materialise(docs.select("doc_id", fingerprint_column(F.col("text"), words, seed).alias("code")), "prints")
-    codes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
+    codes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")), "codes")
     found = stars(buckets(codes.select("code"), most, blocks_for(codes.count(), most)), most)
     member = components(found, "code", "root")
     # the component of a code is its smallest code; the contract asks for the smallest doc_id below it
@@ -296,8 +298,12 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42)
     linked = linked.join(codes, "code")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("code", "component_id")
-    own = codes.join(linked, "code", "left").select("code", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(own, "code").select("doc_id", "code", "component_id")
+    own = codes.join(linked, "code", "left").select("code", "many", F.coalesce("component_id", "least").alias("component_id"))
+    # codes with a HOTth of all rows or more are HOT at most, so these go to the rows by a broadcast and the rest by a shuffle
+    own, share = materialise(own, "owners"), F.lit(prints.count() / HOT)
+    hot = F.broadcast(own.where(F.col("many") > share).select("code", "component_id"))
+    rest = prints.join(hot, "code", "left_anti").join(own.where(F.col("many") <= share).select("code", "component_id"), "code")
+    return prints.join(hot, "code").unionByName(rest).select("doc_id", "code", "component_id")
 
 
 def hex_column(code: Column) -> Column:

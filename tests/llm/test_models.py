@@ -52,7 +52,7 @@ def test_no_positive_token_no_segment():
 
 
 def test_toxic_documents_are_found(spark):
-    # some labels are wrong on purpose, and sf0.01 has 18 toxic ones in the held-out fold, so this takes sf0.1
+    # sf0.01 has only 18 toxic labels in the held-out fold
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score_documents(docs, labels).join(labels.where("toxic is not null"), "doc_id").where("held_out").collect()
     hits = Counter((r["toxic"], r["predicted"]) for r in rows)
