@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import BROADCAST_ROWS
+from kilojoin.llm.common import BROADCAST_ROWS, materialise
 
 #: Without given weights, a source's share goes with its number of documents to this power.
 TEMPERATURE = 0.5
@@ -56,10 +56,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     else:
         wish = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.col("source")), F.lit(0.0)) if weights else F.lit(0.0)
     counts = counts.withColumn("wish", wish)
-    total = counts.agg(F.sum("n").cast("double").alias("all_n"), F.sum("wish").alias("all_wish"))
-    # one row of totals beside one row for each source
-    counts = counts.join(F.broadcast(total), F.lit(True))
-    rate = F.when(F.col("all_wish") > 0, F.col("wish") / F.col("all_wish") * F.col("all_n") / F.col("n")).otherwise(0.0)
+    counts = materialise(counts, "sources")
+    all_n, all_wish = counts.agg(F.sum("n").cast("double"), F.sum("wish")).first()  # two numbers
+    rate = F.col("wish") / F.lit(all_wish) * F.lit(all_n) / F.col("n") if all_wish else F.lit(0.0)
     return counts.select("source", "n", rate.alias("rate"))
 
 

@@ -159,8 +159,8 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int
     else:
         counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
     size = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = found.agg(F.sum("n_words").cast("double").alias("n"))  # one row
-    rated = candidates.join(counts, "term").join(size, "entity").join(F.broadcast(total), F.lit(True))
+    total = found.agg(F.sum("n_words").cast("double")).first()[0] or 0.0  # one number
+    rated = candidates.join(counts, "term").join(size, "entity").withColumn("n", F.lit(total))
     bits = F.log2(F.col("n") / F.col("n_e"))
     gain = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     return rated.where((F.col("n_e") < F.col("n")) & (F.col("n_t") > 0)).select("entity", "term", (gain / bits).alias("share")).where(F.col("share") >= least)
