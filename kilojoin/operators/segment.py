@@ -45,6 +45,13 @@ def add_zero_crossings(df: DataFrame) -> DataFrame:
 
     def value(p: Column) -> Column:
         line = F.when(F.col("t") == F.col("_t"), (p["a"] + p["b"]) / 2).otherwise(p["a"] + (p["b"] - p["a"]) / F.when(F.col("_t") != F.col("t"), F.col("_t") - F.col("t")) * (at - F.col("t")))
+        # rounding must not put a signal on the wrong side of zero: up to its own crossing it has its old sign, then its new one
+        own = zero_time(F.col("t"), F.col("_t"), p["a"], p["b"])
+        side = F.when((own > at) | ((own == at) & (p["sig_id"] > F.col("_e.own"))), p["a"]).otherwise(p["b"])
+        flips = ((p["a"] > 0) & (p["b"] < 0)) | ((p["a"] < 0) & (p["b"] > 0))
+        low = F.when(flips, F.least(side, F.lit(0.0))).otherwise(F.least(p["a"], p["b"]))
+        high = F.when(flips, F.greatest(side, F.lit(0.0))).otherwise(F.greatest(p["a"], p["b"]))
+        line = F.least(F.greatest(line, low), high)
         return F.struct(p["sig_id"].alias("sig_id"), F.when(p["sig_id"] == F.col("_e.own"), F.lit(0.0)).otherwise(line).alias("v"))
 
     rows = rows.withColumn("s", F.when(F.col("_k") == 0, F.col("s")).otherwise(F.transform("_p", value)))

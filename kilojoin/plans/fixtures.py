@@ -43,6 +43,15 @@ sig AS (SELECT record_id, idx, t, 'p1' AS sig_id, p1 AS v FROM wide UNION ALL SE
 nxt AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM sig WINDOW w AS (PARTITION BY record_id, sig_id ORDER BY idx))
 """
 
+
+def _at_crossing(n: str) -> str:
+    """Signal n at a crossing: zero at its own, else on its line, on the side of zero that it is on by then."""
+    p, q = f"p{n}", f"q{n}"
+    side = f"CASE WHEN t - {p} * (t2 - t) / ({q} - {p}) > tz OR (t - {p} * (t2 - t) / ({q} - {p}) = tz AND 'p{n}' > own) THEN {p} ELSE {q} END"
+    bound = lambda f: f"CASE WHEN {p} * {q} < 0 THEN {f}({side}, 0) ELSE {f}({p}, {q}) END"
+    return f"CASE own WHEN 'p{n}' THEN 0 ELSE least(greatest({p} + ({q} - {p}) / (t2 - t) * (tz - t), {bound('least')}), {bound('greatest')}) END"
+
+
 #: Zero crossings, events and sections on top of SIG.
 SEG = SIG + """, wl AS (SELECT *, lead(t) OVER w AS t2, lead(p1) OVER w AS q1, lead(p2) OVER w AS q2, lead(p3) OVER w AS q3 FROM wide
   WINDOW w AS (PARTITION BY record_id ORDER BY idx)),
@@ -52,8 +61,7 @@ cross_ AS (
   UNION ALL SELECT record_id, idx, t - p3 * (t2 - t) / (q3 - p3), 'p3', t, t2, p1, q1, p2, q2, p3, q3 FROM wl WHERE p3 * q3 < 0),
 zrows AS (SELECT record_id, idx AS i0, 0 AS k, t, p1, p2, p3 FROM wide UNION ALL
   SELECT record_id, idx, row_number() OVER (PARTITION BY record_id, idx ORDER BY tz, own), tz,
-    CASE own WHEN 'p1' THEN 0 ELSE p1 + (q1 - p1) / (t2 - t) * (tz - t) END, CASE own WHEN 'p2' THEN 0 ELSE p2 + (q2 - p2) / (t2 - t) * (tz - t) END,
-    CASE own WHEN 'p3' THEN 0 ELSE p3 + (q3 - p3) / (t2 - t) * (tz - t) END FROM cross_),
+    """ + ", ".join(map(_at_crossing, "123")) + """ FROM cross_),
 z AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY i0, k) - 1 AS idx, t, p1, p2, p3 FROM zrows),
 zn AS (SELECT *, lead(t) OVER w AS t2, lead(p1) OVER w AS q1, lead(p2) OVER w AS q2, lead(p3) OVER w AS q3, lead(idx, 2) OVER w IS NULL AS at_end FROM z
   WINDOW w AS (PARTITION BY record_id ORDER BY idx)),

@@ -64,3 +64,17 @@ def test_chopping_is_stable(spark):
     once = segment.add_zero_crossings(df)
     again = segment.add_zero_crossings(once)
     assert once.count() == again.count()
+
+
+def test_rounding_never_skips_a_zero(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for record in range(40):
+        t = 1e7 * rng.random()
+        for idx in range(12):
+            t += rng.choice([0.0, 1e-6, 0.001, 3.7])
+            x = rng.choice([-1, 1]) * rng.random()
+            rows += [(str(record), idx, t, "a", x), (str(record), idx, t, "b", -x / 3), (str(record), idx, t, "c", x * 0.7 + rng.choice([0, 1e-9]))]
+    cut = segment.intervals(segment.add_zero_crossings(spark.createDataFrame(rows, "record_id string, idx long, t double, sig_id string, v double")))
+    assert cut.where("v * w < 0").count() == 0 and cut.count() > len(rows)
