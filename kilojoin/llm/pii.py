@@ -4,12 +4,12 @@ Patterns (fixed values of the contract) find mails, IP addresses, cards and phon
 CONTEXT code points on either side are its context. Over the whole corpus, word positions are the event space:
 p(e) is the share of positions in contexts of entity e, p(e|t) that share among the positions of term t. A term
 discloses log2(p(e|t) / p(e)) of the entity's log2(1 / p(e)) bits; at 1, the term occurs with the entity
-only. Terms in at least SUPPORT different contexts of an entity that disclose GENERALISE of its bits or more are spans of
-kind "term" wherever they stand in a context of that entity; in sanitised texts they turn into their kind of word, and from
+only. The same is counted with whole documents as contexts. Terms in at least SUPPORT different contexts of an entity that
+disclose GENERALISE of its bits or more, by either count, are spans of kind "term" wherever they stand in any text; in sanitised texts they turn into their kind of word, and from
 REMOVE on they are taken out.
 
 DataFrame operations only. One scan finds the entities and their contexts, whose number is linear in the mentions; a
-second counts the candidate terms over all words. Candidates are broadcast if their counted number is within
+second counts the candidate terms over all words, a third finds the texts with disclosing terms. Candidates are broadcast if their counted number is within
 bounds; else all words are counted by partial aggregation and joined with them.
 
 Defined results: a null text is the empty text and has no spans; texts are searched whole; rows with equal doc_id and
@@ -19,10 +19,10 @@ and free of deep recursion; the matches are those of the plain patterns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import BROADCAST_ROWS, materialise
+from kilojoin.llm.common import BROADCAST_ROWS, materialise, maybe_broadcast
 
 #: The patterns of the contract, in its order (fixed values), written for Java.
 PATTERNS = {
@@ -38,6 +38,9 @@ CONTEXT = 80
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 
 _WORD = r"[\p{L}\p{N}]+"
+#: Stands for a code point of a span; a word with one in it touches a span.
+MARK = "\ue000"
+_MARKED = r"[\p{L}\p{N}" + MARK + "]+"
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -147,33 +150,92 @@ def occurrences(found: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "h", "entity", "term", "start", "end").agg(F.min("context").alias("context"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """entity, term, share (of the entity's bits that the term discloses) of the terms at or over the threshold."""
+def without_spans(text: Column, spans: Column) -> Column:
+    """A text of the same length with MARK in place of every code point of a span."""
+
+    def put(x: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], x["at"]), F.greatest(s["end"], x["at"])
+        part = F.concat(F.substr(text, x["at"] + 1, start - x["at"]), F.repeat(F.lit(MARK), end - start))
+        return F.struct(end.alias("at"), F.concat(x["out"], F.array(part)).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(ordered, first, put, lambda x: F.concat(F.array_join(x["out"], ""), F.substr(text, x["at"] + 1)))
+
+
+def words(text: Column) -> Column:
+    """The words in lower case of a text without spans; what a span touches is none."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(_MARKED), F.lit(0)), lambda w: ~w.contains(MARK)), F.lower)
+
+
+def one_text_each(docs: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+    """h, text (without spans) of each of the given hashes, once."""
+    own = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
+    own = own.join(hashes, "h", "left_semi").dropDuplicates(["h"])
+    return materialise(own.select("h", without_spans(F.col("text"), base_spans(F.col("text"))).alias("text")), name)
+
+
+def in_contexts(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, term, n_te, contexts; and entity, n_e: counted in the contexts of CONTEXT code points."""
     each = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
+    return pairs, near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+
+
+def in_documents(docs: DataFrame, found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """The same, counted in whole documents, each different text being one context; entities in fewer than ``support`` of them can have no term."""
+    mentions = found.where(F.size("spans") > 0).select("h", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
+    mentions = mentions.groupBy("h", "entity").agg(F.count(F.lit(1)).alias("many"))
+    often = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    mentions = materialise(mentions.join(often, "entity", "left_semi"), "mentions")
+    texts = one_text_each(docs, mentions.select("h").distinct(), "mentioning")
+    each = materialise(texts.select("h", F.explode(words(F.col("text"))).alias("term")).groupBy("h", "term").agg(F.count(F.lit(1)).alias("n")), "words")
+    pairs = mentions.join(each, "h").groupBy("entity", "term").agg(F.sum(F.col("many") * F.col("n")).alias("n_te"), F.count(F.lit(1)).alias("contexts"))
+    size = mentions.join(each.groupBy("h").agg(F.sum("n").alias("n")), "h").groupBy("entity").agg(F.sum(F.col("many") * F.col("n")).alias("n_e"))
+    return pairs, size
+
+
+def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """term, share (of an entity's bits that the term discloses, the largest over entities) of the terms at or over the threshold."""
+    close, whole = in_contexts(near), in_documents(docs, found, support)
+    pairs, size = (a.withColumn("way", F.lit(0)).unionByName(b.withColumn("way", F.lit(1))) for a, b in zip(close, whole, strict=True))
     candidates = materialise(pairs.where(F.col("contexts") >= support), "candidates")
     terms = candidates.select("term").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
+    every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        counts = every.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
-    size = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+        counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
     total = found.agg(F.sum("n_words").cast("double")).first()[0] or 0.0  # one number
-    rated = candidates.join(counts, "term").join(size, "entity").withColumn("n", F.lit(total))
+    rated = candidates.join(counts, "term").join(size, ["way", "entity"]).withColumn("n", F.lit(total))
     bits = F.log2(F.col("n") / F.col("n_e"))
     gain = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    return rated.where((F.col("n_e") < F.col("n")) & (F.col("n_t") > 0)).select("entity", "term", (gain / bits).alias("share")).where(F.col("share") >= least)
+    rated = rated.where((F.col("n_e") < F.col("n")) & (F.col("n_t") > 0)).select("term", (gain / bits).alias("share")).where(F.col("share") >= least)
+    return rated.groupBy("term").agg(F.max("share").alias("share"))
+
+
+def everywhere(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """h, start, end, share of every occurrence of the terms (term, share) in all texts that is in no base span, once for each different text."""
+    terms = maybe_broadcast(terms)
+    own = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    seen = own.select(F.xxhash64("text").alias("h"), F.explode(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)).alias("term"))
+    hashes = seen.join(terms, "term", "left_semi").select("h").distinct()
+    texts = one_text_each(docs, hashes, "disclosed")
+    values, gaps = F.regexp_extract_all("text", F.lit(_MARKED), F.lit(0)), F.transform(F.split("text", _MARKED, -1), F.length)
+    pieces = F.filter(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), lambda s: s["value"].isNotNull())
+    rows = texts.select("h", F.posexplode(pieces).alias("i", "s")).select("h", "i", "s.*")
+    end = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("h").orderBy("i")).cast("int")
+    rows = rows.select("h", F.lower("value").alias("term"), (end - F.length("value")).alias("start"), end.alias("end"))
+    return rows.join(terms, "term").select("h", "start", "end", "share")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, h, spans (array of kind, start, end, value), terms (array of start, end, share) of every row of docs (doc_id, text)."""
     found = scan(docs)
     near = materialise(occurrences(found), "contexts")
-    flagged = near.join(disclosing(docs, found, near, support, generalise), ["entity", "term"])
-    flagged = flagged.groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
-    terms = flagged.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    all_ = found.select("doc_id", "h", "spans").join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    flagged = everywhere(docs, materialise(disclosing(docs, found, near, support, generalise), "terms"))
+    terms = flagged.groupBy(F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    all_ = found.select("doc_id", "h", "spans").join(terms, F.col("h") == F.col("_h"), "left")
     return all_.select("doc_id", "h", "spans", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
 
 

@@ -104,6 +104,17 @@ def test_disclosing_terms_equal_counts(spark):
     assert got == plain_disclosure(docs) and any(docs[d][1][a:b] == "Karla" for d, a, b in got)
 
 
+def test_terms_are_marked_in_every_text(spark):
+    """Karla stands next to the mail in some texts, far from it in one, and in one without it; Oslo stands far from it only."""
+    far = " ".join(["paper green table window"] * 12)
+    docs = [(i, f"Oslo {far} {i} Karla wrote from kb@mail.org {far}") for i in range(4)] + [(9, f"Karla {far} mail kb@mail.org"), (10, f"{far} then Karla left"), (11, None)]
+    docs += [(20 + i, f"{far} river {i} {far}") for i in range(30)]
+    got = {r["doc_id"]: [docs_[a:b] for a, b, _ in r["terms"]] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect() for docs_ in [dict(docs)[r["doc_id"]]]}
+    assert all("Karla" in got[i] and "Oslo" in got[i] for i in range(4)) and got[9][0] == "Karla" and "Karla" in got[10]
+    assert not got[11] and not any(got[20 + i] for i in range(30))
+    assert not any("Karla" in (r["text"] or "") or "Oslo" in (r["text"] or "") for r in pii.sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
 def test_many_candidates_take_the_other_way(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     one = sorted(map(str, pii.find(df).collect()))
