@@ -57,3 +57,8 @@ def test_graph_checks_and_paths(spark):
     assert lines[0] == "digraph {" and lines[-1] == "}" and '  "a" -> "b";' in lines
     flow = edges.withColumn("dir", F.lit(topology.BACKWARD))
     assert {(r["n_from"], r["n_to"]) for r in topology.directed(flow).collect()} == {("b", "a"), ("c", "b")}
+
+
+def test_reachable_follows_long_chains(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)] + [("n70", "n0"), ("x", "n0")], "n_from string, n_to string").coalesce(1).cache()
+    assert {r["node"] for r in topology.reachable(edges, "n0").collect()} == {f"n{i}" for i in range(71)}
