@@ -21,11 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import crc_class
+from kilojoin.llm.common import crc_class, maybe_broadcast
 
 DIMS = 4096
-#: Centroids of a language, learned documents of each that are clustered (expected), languages at most.
-CENTROIDS, SAMPLE, LANGUAGES = 3, 700, 300
+#: Centroids of a language, learned documents of each that are clustered (expected).
+CENTROIDS, SAMPLE = 3, 700
 #: Share of a language's sample that a centroid stands for at least.
 FEW = 0.03
 #: Share of a centroid's members that lie closer than its limit.
@@ -134,9 +134,9 @@ def learn(docs: DataFrame, held_out: int = 2, folds: int = 4, k: int = CENTROIDS
     many[list(counts)] = list(counts.values())
     idf = (np.log((1 + n) / (1 + many)) + 1).astype(np.float32)
 
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     chance = (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    sample = own.join(F.broadcast(sizes), "lang").where(chance < size / F.col("n"))
+    sample = own.join(maybe_broadcast(sizes), "lang").where(chance < size / F.col("n"))
 
     def centroids(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, there = vectors(rows["text"].drop_duplicates().sort_values().tolist(), idf)

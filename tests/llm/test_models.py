@@ -175,3 +175,11 @@ def test_quality_edges(spark):
     assert got[1]["base_failed"] and got[2]["base_failed"] and got[4]["base_failed"] and got[None]["kept"]
     assert math.isclose(got[None]["content_share"], 1.0)
     assert quality.rate_documents(docs.limit(0), none).count() == 0
+
+
+def test_every_language_has_centroids(spark):
+    from kilojoin.llm import language
+
+    rows = [(10 * i + j, " ".join(chr(0x4E00 + 20 * i + (j + k * k) % 20) * 2 for k in range(30)), f"l{i:03}") for i in range(305) for j in range(4)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2))
+    assert sorted(set(model.languages)) == [f"l{i:03}" for i in range(305)]
