@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,8 +10,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table may be broadcast if it has at most this many rows; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: A table may be broadcast if it has at most this many rows, and its texts so many characters; beyond, it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local runs) a temporary folder of this machine takes its place.
+    Where that is unset and everything runs in one process (tests), a temporary folder takes its place; on a cluster it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="kilojoin-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -34,7 +37,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_class(doc_id: Column, n: int) -> Column:
@@ -42,9 +54,16 @@ def crc_class(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted size is within the bound; df as it is otherwise, so that a join on it shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits(df: DataFrame) -> bool:
+    """Whether a table's counted rows, and the characters of its text columns, are within the bounds of a broadcast."""
+    chars = [F.length(c).cast("long") for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"c{i}") for i, x in enumerate(chars)]).first()
+    return size[0] <= BROADCAST_ROWS and sum(x or 0 for x in size[1:]) <= BROADCAST_CHARS
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its counted size is within the bounds; df as it is otherwise, so that a join on it shuffles."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
