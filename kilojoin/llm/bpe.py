@@ -9,7 +9,12 @@ Many short pieces take the same number of levels, so they are merged in step: th
 lie side by side in one array and every step does one merge in each piece that has any left. Long pieces use
 the same tree one at a time.
 
-Defined results: a null text is the empty text (no ids); an empty text has no ids; texts are never cut.
+A worker holds the texts of one Arrow batch, the ids of GROUP_CHARS of them (of one text, if that is longer), and bounded tables
+of pieces; results leave it group by group.
+
+Defined results: a null text is the empty text (no ids); an empty text has no ids; texts are never cut; every row is encoded
+by itself, so null and repeated doc_ids and equal rows are kept as they are; columns are passed by expression, so names of
+further columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from kilojoin.llm.common import groups
 WIDE = 256
 #: Trees merged in step at a time.
 SIDE_BY_SIDE = 16_384
-#: Pieces whose ids a worker remembers; it forgets all of them when they are more.
-REMEMBERED = 400_000
-#: Characters of text that are split before their new pieces are merged together.
-GROUP_CHARS = 4_000_000
+#: Pieces whose ids a worker remembers, and their characters; it forgets all of them when they are more.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 3_000_000
+#: Characters of text that are encoded and returned together.
+GROUP_CHARS = 1_000_000
 
 _NONE = np.int64(1) << 62
 
@@ -44,7 +49,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
+        self.bytes_of = {rank: whole for whole, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.base = max(self.bytes_of) + 1
@@ -58,6 +63,7 @@ class Codec:
         self.merged = np.array([pairs[k] for k in self.keys.tolist()] + [0], dtype=np.int64)
         self.keys = np.append(self.keys, np.int64(1) << 61)
         self.seen: dict[str, bytes] = {}
+        self.seen_chars = 0
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; _NONE where a side is missing or the pair never merges."""
@@ -199,13 +205,19 @@ class Codec:
             for pieces in split:
                 new.update(pieces)
             fresh = new.difference(self.seen)
-            if len(self.seen) + len(fresh) > REMEMBERED:
-                self.seen.clear()
-                fresh = new
+            chars = sum(map(len, fresh))
+            if len(self.seen) + len(fresh) > REMEMBERED or self.seen_chars + chars > REMEMBERED_CHARS:
+                self.forget()
+                fresh, chars = new, sum(map(len, new))
+            self.seen_chars += chars
             self.learn(fresh)
             out += [b"".join(map(self.seen.__getitem__, pieces)) for pieces in split]
         return out
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.seen_chars = 0
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -220,15 +232,22 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _parts(batches: Iterator[pd.Series]) -> Iterator[list[str]]:
+    """The texts of Arrow batches in groups of GROUP_CHARS."""
+    for batch in batches:
+        yield from groups((t or "" for t in batch), GROUP_CHARS)
+
+
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """struct<ids array<int>, n_tokens long> of a text column."""
 
     @F.pandas_udf("ids array<int>, n_tokens long")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in own.encode([t or "" for t in batch])]
+        for texts in _parts(batches):
+            ids = [np.frombuffer(x, "<i4") for x in own.encode(texts)]
             yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) for x in ids]})
+        own.forget()
 
     return encode(text)
 
@@ -251,16 +270,17 @@ def round_trip_column(text: Column, path: str, pattern: str, with_ids: bool = Fa
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
-        for batch in batches:
-            ids = own.encode([t or "" for t in batch])
+        for texts in _parts(batches):
+            ids = own.encode(texts)
             out = {
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
             }
             if with_ids:
-                out["ids"] = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
+                out["ids"] = [np.frombuffer(x, "<i4") for x in ids]
             yield pd.DataFrame(out)
+        own.forget()  # the worker may serve other stages next
 
     return digest(text)
 
