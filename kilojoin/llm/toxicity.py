@@ -15,7 +15,8 @@ clean documents, K comes from the best segments of clean documents. A passage is
 number by chance is small. The sums of the r best segments are judged together in the same way for each r, and
 the document's score is exp(-E) of the smallest expectation E.
 
-Defined results: null and empty texts and texts without a letter score 0; without labels of both classes every
+Defined results: every row is judged by its text alone, so null and repeated doc_ids and equal rows get their text's score, and
+of columns only those named are read; null and empty texts and texts without a letter score 0; without labels of both classes every
 score is 0; repeated labels of one id count as toxic if one of them is; labels other than 0 and 1 don't count.
 """
 
@@ -38,8 +39,6 @@ from kilojoin.llm.common import crc_class, materialise
 
 #: Labelled documents of each class that are learned from at most.
 SAMPLE = 10_000
-#: Features of a model at most, those with the largest likelihood ratios.
-FEATURES = 50_000
 #: Seeds of shingle hashes by which near copies in the sample are told, and words of a shingle.
 COPY_KEYS, SHINGLE = 4, 5
 #: Texts that a feature must be in.
@@ -50,10 +49,8 @@ PRIOR = 0.1
 DRIFT = 0.5
 #: Least K, for corpora whose clean documents have next to no positive token.
 LEAST_K = 0.1
-#: Segments that are judged together at most.
-TOGETHER = 8
 #: Words whose scores a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: exp(-E) of a document that counts as toxic.
 THRESHOLD = 0.7
 #: Expected number by chance below which a passage is significant.
@@ -96,17 +93,15 @@ class Model:
 
     def expected(self, best: list[float], n: int) -> float:
         """The least expected number by chance of one, two, ... of the best segments together among n tokens."""
-        base, total, least = math.log(max(self.k * n, 1e-9)), 0.0, math.inf
-        for r, s in enumerate(sorted(best, reverse=True)[:TOGETHER], 1):
-            total += self.rate * s - base
-            if r == 1:
-                e = math.exp(min(50.0, -total))
-            elif total > r:
-                e = 2.0 ** (r - 1) * math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r))
-            else:
-                continue
-            least = min(least, e)
-        return least
+        base = math.log(max(self.k * n, 1e-9))
+        sums = np.sort(np.asarray(best))[::-1]
+        r = np.arange(1, len(sums) + 1)
+        total = self.rate * np.cumsum(sums) - base * r
+        logs = np.concatenate([[0.0], np.cumsum(np.log(r))])  # of r!
+        use = (r == 1) | (total > r)
+        r, total = r[use], total[use]
+        e = (r - 1) * math.log(2) - total + (r - 1) * np.log(np.maximum(total, 1e-300)) - logs[r] - logs[r - 1]
+        return math.exp(min(50.0, float(e.min())))
 
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], int]:
         """exp(-E), the maximal segments (first token, end, sum) and the number of tokens."""
@@ -174,11 +169,11 @@ def single_copies(texts: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, size: int = SAMPLE) -> Model:
-    """The model of docs (doc_id, text) with labels (doc_id, toxic). Only the bounded sample's features reach the driver, FEATURES at most."""
+    """The model of docs (doc_id, text) with labels (doc_id, toxic). Only features of the bounded sample that are in SEEN texts and beyond chance reach the driver."""
     sample = sample_of_labels(labels.select("doc_id", "toxic"), held_out, folds, size)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
-    texts = single_copies(materialise(texts, "labelled"))
+    texts = materialise(single_copies(materialise(texts, "labelled")), "single")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -216,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3,
         rated = rated.join(single.groupBy("f").agg(F.max("y").alias("top")), "f", "left")
         rated = rated.where("f like 'w%' or coalesce(top, 0) <= y / 2")
         chance = NormalDist().inv_cdf(1 - 1 / max(20, often.count()))
-        strong = rated.where(F.abs("z") >= chance).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()
+        strong = rated.where(F.abs("z") >= chance).collect()
     finally:
         often.unpersist()
     weights = {r["f"]: r["weight"] for r in strong if r["z"] > 0 or r["f"][0] == "w"}
