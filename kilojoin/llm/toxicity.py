@@ -191,7 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3,
                     yield rows()
                     sums[0].clear()
                     sums[1].clear()
-        yield rows()
+        if sums[0] or sums[1]:
+            yield rows()
 
     counts = texts.select("text", "toxic").mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     often = counts.where(f"clean + toxic >= {SEEN}").select("f", "clean", "toxic", F.col("toxic").cast("double").alias("y"), F.col("clean").cast("double").alias("x")).cache()
@@ -231,7 +232,8 @@ def calibrate(model: Model, clean: DataFrame) -> Model:
                 if words := tokens(text):
                     values, many = np.unique(np.round(model.scores(words), 1), return_counts=True)
                     bins.update(dict(zip(values.tolist(), many.tolist(), strict=True)))
-        yield pd.DataFrame({"s": list(bins.keys()), "n": list(bins.values())}, columns=["s", "n"])
+        if bins:
+            yield pd.DataFrame({"s": list(bins.keys()), "n": list(bins.values())})
 
     rows = clean.mapInPandas(histogram, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     own = {r["s"]: float(r["n"]) for r in rows}
@@ -239,6 +241,8 @@ def calibrate(model: Model, clean: DataFrame) -> Model:
         if x > DRIFT:
             own[round(x - DRIFT, 1)] = own.get(round(x - DRIFT, 1), 0.0) + 0.5
     s, p = np.array(list(own)), np.array(list(own.values()))
+    if not len(p):
+        return model
     p /= p.sum()
     if float((s * p).sum()) >= 0:
         return Model(model.weights, rate=0.1)
