@@ -95,31 +95,28 @@ def test_target_weights_are_met(spark):
 def plain_search(rows, k):
     import itertools
 
-    x = {}
-    for i, v in rows:
-        if i is None or not v or any(c is None or not math.isfinite(c) for c in v):
-            continue
-        q = [math.floor(1024 * float(np.float32(c))) for c in v]
-        x[i] = min(x[i], q) if i in x else q
+    x = [(i, [math.floor(1024 * float(np.float32(c))) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q in sorted(i for i in x if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in itertools.zip_longest(x[q], v, fillvalue=0)), i) for i, v in x.items() if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
-    return sorted(out)
+    for a, (q, own) in enumerate(x):
+        if q is not None and q % 100 == 0:
+            scores = sorted((-sum(m * n for m, n in itertools.zip_longest(own, v, fillvalue=0)), i is None, i or 0) for b, (i, v) in enumerate(x) if a != b)
+            out += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(scores[:k], 1)]
+    return sorted(out, key=str)
 
 
-VECTORS = "vec_id long, embedding array<float>, score string"
+VECTORS = "vec_id long, embedding array<float>, score string, key string, part string"
 
 
 def searched(spark, rows, k=10):
-    df = spark.createDataFrame([(*r, "x") for r in rows], VECTORS)
-    return sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=k).select("query_id", "rank", "vec_id", "score").collect())
+    df = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], VECTORS)
+    return sorted((tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=k).select("query_id", "rank", "vec_id", "score").collect()), key=str)
 
 
 @pytest.mark.parametrize("seed, block, size", [(1, 32_768, 16), (2, 70, 16), (3, 50, 3)])
 def test_search_equals_brute_force(spark, monkeypatch, seed, block, size):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "PER_UNIT", 1)
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, 1) for _ in range(size)]) for i in range(350)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)]  # ties
@@ -129,6 +126,8 @@ def test_search_equals_brute_force(spark, monkeypatch, seed, block, size):
 def test_search_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [math.nan, 1.0]), (3, [None, 1.0]), (4, []), (5, [math.inf, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, [-3.0, 0.5]), (100, [0.0, 0.0]), (100, [0.5, 0.0])]
     assert searched(spark, rows) == plain_search(rows, 10)
+    again = [(2, [2.0]), (2, [-3.0]), (2, [2.0]), (4, []), (100, [1.0]), (100, [1.0]), (200, [-1.0, 5.0]), (None, [9.0])]  # one id on several vectors
+    assert searched(spark, again) == plain_search(again, 10) and searched(spark, again, 2) == plain_search(again, 2)
     assert searched(spark, rows[1:2]) == []
     assert topk.search(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).count() == 0
 
