@@ -46,30 +46,44 @@ def test_a_common_first_turn_makes_no_prefix_of_its_own(spark):
 DOCS = "doc_id long, source string, text string, copy string"
 
 
-def plain_copies(doc_id, rate, seed=mixing.SEED):
+def plain_copies(doc_id, text, rate, seed=mixing.SEED):
     import hashlib
 
-    u = (int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-    k, p, c = 0, math.exp(-rate), math.exp(-rate)
-    while c < u:
-        k += 1
-        p *= rate / k
-        c += p
-    return k
+    name, total = f"{'' if doc_id is None else doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}", 0
+    draws = max(1, math.ceil(rate / mixing.CHUNK))
+    for j in range(draws):
+        u = (int(hashlib.md5(f"{seed}:{name}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, p = 0, math.exp(-rate / draws)
+        c = p
+        while c < u:
+            k += 1
+            p *= rate / draws / k
+            c += p
+        total += k
+    return total
 
 
 def test_copies_equal_the_inverted_distribution(spark):
-    rows = [(i, "a" if i % 3 else "b", f"t{i}", "x") for i in range(600)]
+    rows = [(i if i % 7 else None, "a" if i % 3 else "b", f"t{i}", "x") for i in range(600)]
     df = spark.createDataFrame(rows, DOCS)
-    got = {r["doc_id"]: r["n"] for r in mixing.replicate(df, {"a": 1.0, "b": 3.0}).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    got = {r["text"]: r["n"] for r in mixing.replicate(df, {"a": 1.0, "b": 3.0}).groupBy("text").agg(F.count("*").alias("n")).collect()}
     rate = {"a": 0.25 * 600 / 400, "b": 0.75 * 600 / 200}
-    assert got == {i: n for i, s, _, _ in rows if (n := plain_copies(i, rate[s]))}
+    assert got == {t: n for i, s, t, _ in rows if (n := plain_copies(i, t, rate[s]))}
+
+
+def test_a_rare_source_of_large_weight(spark):
+    rows = [(i, "rare" if i == 5 else "common", f"t{i}", "x") for i in range(6000)]
+    out = mixing.replicate(spark.createDataFrame(rows, DOCS), {"rare": 0.5, "common": 0.5}).where("source = 'rare'").select("copy", "n_copies").collect()
+    n = plain_copies(5, "t5", 3000.0)
+    assert sorted(r["copy"] for r in out) == list(range(1, n + 1)) and {r["n_copies"] for r in out} == {n} and 2700 < n < 3300
 
 
 def test_salted_join_gives_the_same_rows(spark, monkeypatch):
+    from kilojoin.llm import common
+
     df = spark.createDataFrame([(i, None if i % 5 == 0 else f"s{i % 3}", "t", "x") for i in range(300)], DOCS)
     one = sorted(map(str, mixing.replicate(df).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(str, mixing.replicate(df).collect())) == one
 
 
@@ -83,6 +97,14 @@ def test_mixing_edges(spark):
     assert mixing.replicate(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_u", "_source", "_cdf", "s", "cdf", "draws", "row", "whole", "mine", "salt", "first", "n_copies", "copy", "shuffle_key"]
+    rows = [(i, "a", f"t{i}", *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, source string, text string", *[f"{n} string" for n in names]]))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 10
+
+
 def test_target_weights_are_met(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"), F.lit("t").alias("text"))
     n = {r["source"]: r["count"] for r in mixing.mixed(df, {"rare": 0.5, "common": 0.5}).groupBy("source").count().collect()}
