@@ -3,13 +3,14 @@
 A text turns into a vector of DIMS hashed counts of two and three neighbouring letters (lower case; whatever is no
 letter is a border), weighted by inverse document frequency and scaled to length one. Document frequencies
 are counted over every learning document (partial sums in each task, one row for each dimension after). Centroids come
-from spherical k-means over a bounded sample of each language, one task for each. A text takes the language
+from spherical k-means over a bounded sample of each language's different texts, drawn by the hash of the text, one task for each. A text takes the language
 of the centroid of the largest cosine; it is rejected as too far from all if that is below the cosine of nearly all
 of the centroid's own members.
 
 Defined results: null texts and texts without a letter are "und" with score 0; without learned languages every text is; of
 equal cosines the first language in order of the alphabet wins; rows with null or repeated doc_id are judged like
-any other. Rejection is a column of its own and doesn't change the prediction.
+any other, and a null id learns like the empty text as an id; equal texts of a language are learned once; columns other than
+doc_id, text and lang are not read, whatever their names; an empty table gives no rows. Rejection is a column of its own and doesn't change the prediction.
 """
 
 from __future__ import annotations
@@ -134,16 +135,17 @@ def learn(docs: DataFrame, held_out: int = 2, folds: int = 4, k: int = CENTROIDS
     many[list(counts)] = list(counts.values())
     idf = (np.log((1 + n) / (1 + many)) + 1).astype(np.float32)
 
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chance = (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    sample = own.join(maybe_broadcast(sizes), "lang").where(chance < size / F.col("n"))
+    # different texts: a language may have one text or one id on most of its rows
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    chance = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    sample = own.join(maybe_broadcast(sizes), "lang").where(chance < size / F.col("n")).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"))
 
     def centroids(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, there = vectors(rows["text"].drop_duplicates().sort_values().tolist(), idf)
+        x, there = vectors(rows["text"].sort_values().tolist(), idf)
         c, limit = cluster(x[there], k) if there.any() else (np.zeros((0, DIMS)), np.zeros(0))
         return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tobytes() for v in c], "limit": limit})
 
-    found = sample.select("lang", "doc_id", "text").groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, limit double").collect()
+    found = sample.select("lang", "text").groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, limit double").collect()
     found.sort(key=lambda r: r["lang"])
     c = np.stack([np.frombuffer(bytes(r["centroid"]), np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
     return Model(idf, [r["lang"] for r in found], c, np.array([r["limit"] for r in found]))

@@ -12,7 +12,9 @@ forward-backward sums at once.
 Base measures follow the contract; words are runs of characters other than space and U+0009 to U+000D.
 
 Defined results: null and empty texts have no word and fail (n_words < 10); without labels of both classes all lines are
-content; repeated labels of one id count as bad if one of them is; labels other than 0 and 1 don't count.
+content; of equally good paths the one with later changes from content wins, and a line whose labels are level is content;
+every row is judged by its text alone, so null and repeated doc_ids and equal rows get their text's result; columns other than
+doc_id, text and quality are not read, whatever their names; an empty table gives no rows; repeated labels of one id count as bad if one of them is; labels other than 0 and 1 don't count.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilojoin.llm.common import crc_class
+
 #: Labelled documents of each class, and lines of them, that are learned from at most.
 SAMPLE, LINES = 3000, 150_000
 #: Share of a kept document's word characters in lines of content.
@@ -37,6 +41,7 @@ SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 #: Values of each template.
 VALUES = [7, 5, 4, 4, 2, 2, 2, 5, 4, 3]
+_NO_SPACE = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 _FIRST = np.cumsum([0, *VALUES[:-1]])
 N_FEATURES = sum(VALUES)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -196,9 +201,10 @@ def single_lines(rows: np.ndarray, y: np.ndarray, steps: int = 200, rate: float
     return 1 / (1 + np.exp(-p[rows].sum(1)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, lines: int = LINES) -> Field:
-    """The field of docs (doc_id, text) with labels (doc_id, quality). The driver gets the feature numbers of a bounded number of lines."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, lines: int = LINES, held_out: int | None = None, folds: int = 3) -> Field:
+    """The field of docs (doc_id, text) with labels (doc_id, quality), those of the fold ``held_out`` left out. The driver gets the feature numbers of a bounded number of lines."""
+    own = labels if held_out is None else labels.where(crc_class(F.col("doc_id"), folds) != held_out)
+    own = own.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = own.where("quality = 1").orderBy(*order).limit(size).union(own.where("quality = 0").orderBy(*order).limit(size))
 
@@ -239,7 +245,7 @@ def judge(text: str | None, field: Field) -> tuple:
     failed = n_words < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n_words
     lines = (text or "").split("\n")
     labels = field.viterbi(features(text)) if field.trained else [1] * len(lines)
-    sizes = [len(line) - line.count(" ") for line in lines]
+    sizes = [len(line.translate(_NO_SPACE)) for line in lines]  # word characters
     share = sum(s for s, k in zip(sizes, labels, strict=True) if k) / max(1, sum(sizes))
     return n_words, chars, symbols, again, repeated, failed, not failed and share >= CONTENT, share, len(lines), labels.count(0)
 
@@ -256,9 +262,9 @@ def quality_column(text: Column, field: Field) -> Column:
     return of(text)
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and RESULT of every document."""
-    own = quality_column(F.col("text"), learn(docs, labels))
+def rate_documents(docs: DataFrame, labels: DataFrame, held_out: int | None = None, folds: int = 3) -> DataFrame:
+    """doc_id and RESULT of every document; labels of the fold ``held_out`` (of the id's crc32) are not learned."""
+    own = quality_column(F.col("text"), learn(docs, labels, held_out=held_out, folds=folds))
     return docs.select("doc_id", own.alias("own")).select("doc_id", "own.*")
 
 

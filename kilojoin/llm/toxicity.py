@@ -197,8 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3,
     counts = texts.select("text", "toxic").mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     often = counts.where(f"clean + toxic >= {SEEN}").select("f", "clean", "toxic", F.col("toxic").cast("double").alias("y"), F.col("clean").cast("double").alias("x")).cache()
     try:
-        all_ = {r["f"] == "#": (r["x"] or 0.0, r["y"] or 0.0) for r in often.groupBy((F.col("f") == "#").alias("f")).agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
-        clean_n, toxic_n = all_.get(False, (0.0, 0.0))
+        sums = often.where("f <> '#'").agg(F.sum("x"), F.sum("y")).first()
+        clean_n, toxic_n = sums[0] or 0.0, sums[1] or 0.0
         if not (clean_n and toxic_n):
             return Model()
         prior = PRIOR * (clean_n + toxic_n)
