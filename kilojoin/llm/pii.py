@@ -2,8 +2,8 @@
 
 Patterns (fixed values of the contract) find mails, IP addresses, cards and phone numbers. What they find is protected, and so
 are keys (long words of letters and digits): each single value that stands in different places (a holder), each kind,
-and protected data of any kind. A term is a word, or the shape of a word (kinds of letters, digits, and length), so that
-words which occur once, such as numbers of accounts, are judged by all words of their shape. A key is its own entity
+and protected data of any kind. A term is a word, or the shape of a word with digits (letters or not, and length), so that numbers which occur once, such as
+those of accounts, are judged by all words of their shape. A key is its own entity
 and discloses all of it.
 
 The corpus tells how strongly a term reveals a protected entity. Texts are covered by windows of 2 HALF words, each starting
@@ -67,6 +67,8 @@ _TOKEN = rf"{_WORD}|{MARK}[^{MARK}]*{MARK}"
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 TERM = "struct<i:int,start:int,end:int,share:double>"
+#: Terms that are looked for as literals of the plan at most; more are joined.
+FEW = 2000
 #: Items that a running sum takes at a time.
 BLOCK = 32
 
@@ -179,24 +181,28 @@ def as_token(kind: str, value: Column) -> Column:
 # windows --------------------------------------------------------------------------------------------
 
 
+def has_digits(text: Column) -> Column:
+    return text.rlike(r"\p{N}")
+
+
 def shape(word: Column) -> Column:
-    """What kinds of characters a word has (a letters, A with capitals, 7 digits), and how many."""
-    digits = word.rlike(r"\p{N}")
-    kind = F.when(digits & ~word.rlike(r"\p{L}"), "7").otherwise(F.concat(F.when(word == F.lower(word), "a").otherwise("A"), F.when(digits, "7").otherwise("")))
-    return F.concat(F.lit("s"), kind, F.length(word).cast("string"))
+    """# and the kinds of characters (a letters, 7 digits) and the length of a word with digits."""
+    return F.concat(F.when(word.rlike(r"\p{L}"), "#a7-").otherwise("#7-"), F.length(word).cast("string"))
 
 
-def features(words: Column) -> Column:
-    """The different words (lower case, after a w) and shapes (after an s) of an array of words."""
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), F.lower(w))), F.transform(words, shape)))
+def features(words: Column, digits: Column) -> Column:
+    """The different words of an array of words in lower case, and the shapes of those with digits; digits: whether there are any."""
+    shapes = F.when(digits, F.transform(F.filter(words, has_digits), shape)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, shapes))
 
 
 def windows(text: Column) -> Column:
     """array<struct<f: features, m: array of entities>>: the windows of a masked text."""
+    digits = has_digits(text)
 
     def block(t: Column, s: Column) -> Column:
         own = F.slice(t, s + 1, F.lit(HALF))
-        return F.struct(features(F.filter(own, lambda x: ~x.startswith(MARK))).alias("f"), F.filter(own, lambda x: x.startswith(MARK)).alias("m"))
+        return F.struct(features(F.filter(own, lambda x: ~x.startswith(MARK)), digits).alias("f"), F.filter(own, lambda x: x.startswith(MARK)).alias("m"))
 
     def joined(b: Column) -> Column:
         def two(i: Column) -> Column:
@@ -208,7 +214,7 @@ def windows(text: Column) -> Column:
     def of(t: Column) -> Column:
         return let(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(HALF)), lambda s: block(t, s)), joined)
 
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), of)
+    return let(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), of)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -259,15 +265,15 @@ def disclosing(docs: DataFrame, support: float = SUPPORT, places: float = PLACES
     (kinds, kind_sizes), (own, own_sizes) = kinds_with_terms(found), holders_with_terms(found, places)
     pairs = materialise(kinds.where(F.col("eff") >= support).unionByName(own.where(F.col("eff") >= places)), "pairs")
     sizes = kind_sizes.unionByName(own_sizes).select("entity", F.col("raw").alias("n_e"))
-    terms = materialise(pairs.select("feature").distinct().union(docs.sparkSession.createDataFrame([("#",)], "feature string")), "candidates")
-    every = docs.select(F.explode(windows(masked(F.col("text"), as_token, PROTECTED))).alias("w")).where((F.size("w.f") > 0) | (F.size("w.m") > 0))
-    every = every.select(F.explode(F.concat(F.array(F.lit("#")), F.col("w.f"))).alias("feature"))
+    terms = materialise(pairs.select("feature").distinct().union(docs.sparkSession.createDataFrame([("##",)], "feature string")), "candidates")
+    every = docs.select(F.explode(let(masked(F.col("text"), as_token, PROTECTED), windows)).alias("w")).where((F.size("w.f") > 0) | (F.size("w.m") > 0))
+    every = every.select(F.explode(F.concat(F.array(F.lit("##")), F.col("w.f"))).alias("feature"))
     if fits(terms):
         counts = every.join(F.broadcast(terms), "feature", "left_semi").groupBy("feature").agg(F.count(F.lit(1)).alias("n_t"))
     else:
         counts = every.groupBy("feature").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "feature", "left_semi")
     counts = materialise(counts, "counts")
-    total = counts.where("feature = '#'").first()  # one number
+    total = counts.where("feature = '##'").first()  # one number
     p, q = F.col("n_e") / F.lit(float(total["n_t"] if total else 1)), F.col("raw") / F.col("n_t")
     rated = pairs.join(counts, "feature").join(sizes, "entity").select("feature", "raw", "eff", "n_t", p.alias("p"), q.alias("q")).where("p < 1")
     # raw of n_t windows hold the entity; the evidence is eff of eff / q windows
@@ -286,16 +292,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h"), F.length("text").alias("l"), "text")
 
 
+def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows (h, l, text) whose text holds a term or a key."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    few = [r[0] for r in terms.select("feature").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        plain, shapes = [f for f in few if f[0] != "#"], [f for f in few if f[0] == "#"]
+        a_word = F.exists(words, lambda w: w.isin(plain)) if plain else F.lit(False)
+        a_shape = has_digits(F.col("text")) & F.exists(words, lambda w: has_digits(w) & shape(w).isin(shapes)) if shapes else F.lit(False)
+        return rows.where(a_word | a_shape | F.col("text").rlike(KEY_PATTERN))
+    own = let(words, lambda w: features(w, has_digits(F.col("text"))))
+    keys = rows.select("h", "l", F.explode(own).alias("feature")).join(terms, "feature", "left_semi").select("h", "l")
+    keys = keys.union(rows.where(F.col("text").rlike(KEY_PATTERN)).select("h", "l")).distinct()
+    return rows.join(keys, ["h", "l"], "left_semi")
+
+
 def everywhere(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """h, l, terms (array of i, start, end, share) of the texts with terms: every occurrence in no base span; i counts the words outside of base spans."""
     terms = maybe_broadcast(terms)
-    own = _keyed(docs)
-    words = lambda t: F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
-    seen = own.select("h", "l", F.explode(let(words(F.col("text")), features)).alias("feature"))
-    keys = seen.join(terms, "feature", "left_semi").select("h", "l").union(own.where(F.col("text").rlike(KEY_PATTERN)).select("h", "l")).distinct()
+    own = _holding(_keyed(docs), terms)
     blank = masked(F.col("text"), lambda kind, v: F.repeat(F.lit(MARK), F.length(v)))
-    rows = own.join(keys, ["h", "l"], "left_semi").select("h", "l", F.posexplode(located(blank, _WORD)).alias("i", "s"))
-    two = F.explode(F.array(F.concat(F.lit("w"), F.lower("s.value")), shape(F.col("s.value")))).alias("feature")
+    rows = own.select("h", "l", F.posexplode(located(blank, _WORD)).alias("i", "s"))
+    two = F.explode(F.array(F.lower("s.value"), F.when(has_digits(F.col("s.value")), shape(F.col("s.value"))))).alias("feature")
     rows = rows.select("h", "l", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").rlike(KEY_PATTERN).alias("key"), two)
     rows = rows.where("key").withColumn("share", F.lit(1.0)).drop("key", "feature").union(rows.drop("key").join(terms, "feature").select("h", "l", "i", "start", "end", "share"))
     rows = rows.groupBy("h", "l", "i", "start", "end").agg(F.max("share").alias("share"))
