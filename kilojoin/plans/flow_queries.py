@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kilojoin.operators import delta, flow, segment, solver, symbolic, topology
@@ -124,25 +125,46 @@ TRIPOD_GIVEN = {
 }
 
 
-@query("""SELECT variable, value::DOUBLE AS value FROM (VALUES ('content_init_3', 22.0), ('content_0_3', 6.0), ('content_1_3', 16.0), ('content_2_3', 10.0), ('ste_init_2_3', 2.25), ('ste_1_2_3', 3.75),
-('maxe_1_exit_3', 6.25), ('p_2_0_2', 3.306122), ('eta_1_2_1', 0.8), ('stx_init_0_3', 0.727273), ('e_1_0_2', 104.166667), ('outsum_2_0', 3.306122)) AS x(variable, value)""")
+@query("""SELECT variable, round(a::DOUBLE / b, 6) + 0.0 AS value FROM (VALUES
+('dt_0', 1, 1), ('dt_1', 2, 1), ('dt_2', 1, 1), ('content_2_3', 10, 1), ('x_0_2_3', 8, 25), ('p_0_2_3', 4, 1), ('p_1_3_2', 5, 1), ('p_2_3_2', 6, 1), ('eta_0_3_2', 1, 4),
+('eta_0_2_1', 1, 2), ('eta_0_0_2', 3, 4), ('eta_1_0_2', 2, 5), ('eta_1_2_3', 3, 5), ('eta_2_0_2', 7, 10), ('eta_2_3_2', 9, 10), ('eta_2_2_1', 1, 1), ('x_1_2_3', 2, 5),
+('x_2_2_0', 3, 10), ('insum_1_1', 20, 1), ('e_0_2_3', 4, 1), ('p_0_3_2', 16, 1), ('x_0_2_0', 17, 25), ('insum_0_2', 25, 2), ('x_0_1_2', 1, 1), ('x_0_0_2', 1, 1),
+('x_0_2_1', 1, 1), ('x_0_3_2', 1, 1), ('outsum_0_2', 25, 2), ('e_1_3_2', 10, 1), ('p_1_2_3', 25, 3), ('x_1_2_0', 1, 1), ('e_1_1_2', 20, 1), ('x_1_1_2', 1, 1),
+('insum_1_3', 10, 1), ('x_1_3_2', 1, 1), ('x_1_0_2', 1, 1), ('x_1_2_1', 3, 5), ('e_2_3_2', 6, 1), ('p_2_2_3', 27, 5), ('x_2_2_3', 7, 10), ('x_2_1_2', 1, 1), ('x_2_0_2',
+1, 1), ('x_2_2_1', 1, 1), ('outsum_2_3', 6, 1), ('x_2_3_2', 1, 1), ('level_2_3', 16, 1), ('content_1_3', 16, 1), ('stinsum_exit_3', 10, 1), ('stoutsum_1_3', 10, 1),
+('stinsum_2_3', 6, 1), ('maxe_1_2_3', 10, 1), ('stx_0_init_3', 1, 1), ('e_0_3_2', 16, 1), ('e_0_2_0', 17, 2), ('e_0_2_1', 25, 2), ('outsum_0_3', 16, 1), ('p_1_1_2', 10,
+1), ('e_1_2_3', 50, 3), ('outsum_1_2', 125, 3), ('insum_1_2', 125, 3), ('e_2_2_3', 27, 5), ('insum_2_2', 54, 7), ('outsum_2_2', 54, 7), ('level_1_3', 16, 1),
+('content_0_3', 6, 1), ('stinsum_0_3', 16, 1), ('ste_init_0_3', 16, 1), ('p_0_2_0', 17, 2), ('p_0_0_2', 34, 3), ('p_0_2_1', 25, 2), ('p_0_1_2', 25, 4), ('e_1_2_0', 125,
+3), ('e_1_2_1', 25, 1), ('e_2_2_0', 81, 35), ('e_2_2_1', 54, 7), ('level_0_3', 22, 1), ('content_init_3', 22, 1), ('stoutsum_init_3', 22, 1), ('stx_init_0_3', 8, 11),
+('maxe_init_0_3', 22, 1), ('maxe_init_2_3', 6, 1), ('local_0_3', 22, 1), ('local_2_3', 16, 1), ('stx_2_init_3', 3, 8), ('stx_2_1_3', 5, 8), ('e_0_0_2', 34, 3),
+('e_0_1_2', 25, 4), ('insum_0_1', 25, 4), ('outsum_0_0', 34, 3), ('p_1_2_0', 125, 6), ('p_1_0_2', 625, 12), ('p_1_2_1', 25, 2), ('eta_1_2_1', 4, 5), ('p_2_2_0', 81, 35),
+('p_2_0_2', 162, 49), ('p_2_2_1', 54, 7), ('p_2_1_2', 54, 7), ('ste_init_2_3', 9, 4), ('ste_1_2_3', 15, 4), ('e_1_0_2', 625, 6), ('outsum_1_0', 625, 6), ('e_2_0_2', 162,
+49), ('e_2_1_2', 54, 7), ('insum_2_1', 54, 7), ('outsum_2_0', 162, 49), ('ste_init_exit_3', 15, 4), ('stx_init_2_3', 9, 88), ('stx_init_exit_3', 15, 88),
+('maxe_init_exit_3', 15, 4), ('ste_1_exit_3', 25, 4), ('stx_1_2_3', 3, 8), ('stx_1_exit_3', 5, 8), ('maxe_1_exit_3', 25, 4), ('stx_exit_init_3', 3, 8), ('stx_exit_1_3',
+5, 8), ('local_exit_3', 10, 1)
+) AS x(variable, a, b)""")
 def solve_sequence(spark, d):
-    """The worked sequence as one row of columns, solved on executors."""
+    """Every variable of the worked sequence, as one row of columns, solved on executors; the SQL has the exact fractions."""
     from fractions import Fraction
 
     rules = solver.sequence_rules(TRIPOD, [3])
     row = spark.range(1).select(*[F.lit(float(Fraction(v))).alias(k) for k, v in TRIPOD_GIVEN.items()])
     rows = solver.tidy(solver.solve(row, rules).withColumn("one_row", F.lit(1)), rules, ["one_row"])
-    wanted = ["content_init_3", "content_0_3", "content_1_3", "content_2_3", "ste_init_2_3", "ste_1_2_3", "maxe_1_exit_3", "p_2_0_2", "eta_1_2_1", "stx_init_0_3", "e_1_0_2", "outsum_2_0"]
-    return rows.where(F.col("variable").isin(wanted)).select("variable", F.round("value", 6).alias("value"))
+    return rows.select("variable", r("value", 6))
 
 
-@query(FLOW + CUM + """ SELECT coalesce(a.n_from, b.n_from) AS n_from, coalesce(a.n_to, b.n_to) AS n_to, a.record_id IS NOT NULL AS x, round(a.e_out, 3) + 0.0 AS before, round(b.e_out - a.e_out, 3) + 0.0 AS delta, round(b.e_out, 3) + 0.0 AS after
-FROM (SELECT * FROM cum WHERE record_id = 1) a FULL JOIN (SELECT * FROM cum WHERE record_id = 2) b ON a.n_from = b.n_from AND a.n_to = b.n_to""")
+HALVES = """, halves AS (SELECT o.*, o.section * 2 > max(o.section) OVER (PARTITION BY o.record_id) AS late FROM orient o),
+hcum AS (SELECT record_id, late, n_from, n_to, sum(e_out) AS e_out FROM halves WHERE dir <> 1 GROUP BY ALL)"""
+
+
+@query(FLOW + HALVES + """ SELECT record_id, n_from, n_to, round(a.e_out, 3) + 0.0 AS before, round(b.e_out - a.e_out, 3) + 0.0 AS delta, round(b.e_out, 3) + 0.0 AS after
+FROM (SELECT * FROM hcum WHERE NOT late) a FULL JOIN (SELECT * FROM hcum WHERE late) b USING (record_id, n_from, n_to)""")
 def delta_before_after(spark, d):
-    cum = flow.cumulate(flows(spark, d))
-    out = flow.differences(cum.where("record_id = 1"), cum.where("record_id = 2"), ["n_from", "n_to"], "e_out")
-    return rounded(out.select("n_from", "n_to", F.col("before").isNotNull().alias("x"), "before", "delta", "after"), "before", "delta", "after")
+    """The cumulated flows of the earlier sections of every record against those of the later ones."""
+    last = F.max("section").over(Window.partitionBy("record_id"))
+    halves = flows(spark, d).withColumn("late", F.col("section") * 2 > last)
+    early, late = flow.cumulate(halves.where("not late")), flow.cumulate(halves.where("late"))
+    return rounded(flow.differences(early, late, ["record_id", "n_from", "n_to"], "e_out"), "before", "delta", "after")
 
 
 @query(SIG + """SELECT record_id, idx, round(p1 * p2, 6) + 0.0 AS before, round((q1 - p1) * p2, 6) + 0.0 AS by_first, round(p1 * (q2 - p2), 6) + 0.0 AS by_second, round((q1 - p1) * (q2 - p2), 6) + 0.0 AS by_both

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs, types
@@ -183,14 +184,27 @@ def zip_three(spark, d):
     return signal.zip3(fx.one(spark, d, "p1"), fx.one(spark, d, "p2"), fx.one(spark, d, "p3"), lambda a, b, c: a + b * c)
 
 
-@query(SIG + "SELECT a.record_id, a.idx AS i, b.idx AS j, a.p1 * b.p2 AS v FROM wide a JOIN wide b USING (record_id) WHERE a.idx < 5 AND b.idx < 5")
+def _axis(sig: str, width: int) -> str:
+    """The middles of a signal's classes in each record, numbered, with the samples of each."""
+    return f"SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY k) - 1 AS idx, (k + 0.5) * {width} AS v, n FROM (SELECT record_id, floor({sig} / {width}) AS k, count(*) AS n FROM wide GROUP BY ALL)"
+
+
+def axis(spark, d, sig, width):
+    """record_id, idx, t (samples), sig_id, v (middle) of the classes that all samples of a signal fall into; as many as the range of values holds."""
+    classes = fx.wide(spark, d).groupBy("record_id", F.floor(F.col(sig) / width).alias("k")).agg(F.count(F.lit(1)).cast("double").alias("t"))
+    w = Window.partitionBy("record_id").orderBy("k")
+    return classes.select("record_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "t", F.lit(sig).alias("sig_id"), ((F.col("k") + 0.5) * width).alias("v"))
+
+
+@query(SIG + f", a AS ({_axis('p1', 20)}), b AS ({_axis('p2', 10)}) SELECT a.record_id, a.idx AS i, b.idx AS j, a.v * b.v AS v FROM a JOIN b USING (record_id)")
 def cross_product(spark, d):
-    return signal.cross_with(signal.slice_(fx.one(spark, d, "p1"), 0, 4), signal.slice_(fx.one(spark, d, "p2"), 0, 4), lambda a, b: a * b)
+    """The classes of one signal against those of another, in each record; every sample is in its class."""
+    return signal.cross_with(axis(spark, d, "p1", 20), axis(spark, d, "p2", 10), lambda a, b: a * b)
 
 
-@query(SIG + "SELECT a.record_id, b.idx AS i, a.idx AS j, a.p1 AS x, b.p3 AS y FROM wide a JOIN wide b USING (record_id) WHERE a.idx < 4 AND b.idx < 4")
+@query(SIG + f", a AS ({_axis('p1', 20)}), b AS ({_axis('p3', 1)}) SELECT a.record_id, b.idx AS i, a.idx AS j, a.v AS x, b.v AS y FROM a JOIN b USING (record_id)")
 def mesh_grid(spark, d):
-    return signal.variation2d(signal.slice_(fx.one(spark, d, "p1"), 0, 3), signal.slice_(fx.one(spark, d, "p3"), 0, 3))
+    return signal.variation2d(axis(spark, d, "p1", 20), axis(spark, d, "p3", 1))
 
 
 @query(SIG + "SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY p1, idx) - 1 AS rank, p1 AS x, p2 AS y FROM wide")

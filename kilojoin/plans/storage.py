@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder if all runs in one process, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="kilojoin-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
