@@ -1,7 +1,8 @@
 """Readers of measured signals: each gives long rows (record_id, idx, t, sig_id, v), record_id being the file.
 
-Text goes through Spark's readers. A file is one record, and a line's place in it is its order; so a file is read by
-one task, and many files by many.
+CSV and ASCII files go line by line through Spark's text reader, which cuts large files into splits; lines are numbered within
+their split and by the lines of the splits before it, so no task needs a whole file. Plot files and table files,
+whose blocks refer to each other, are read whole, one task for a file.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LONG = "record_id string, idx long, t double, sig_id string, v double"
@@ -20,29 +21,36 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("record_id"), F.col("value").alias("text"))
 
 
-def _cells(line: str, sep: str) -> list[str]:
-    """Cells of a line; quotes may hold the separator, a doubled quote is one."""
-    out, cell, quoted, i = [], [], False, 0
-    while i < len(line):
-        c = line[i]
-        if quoted:
-            if c == '"' and line[i + 1 : i + 2] == '"':
-                cell.append('"')
-                i += 1
-            elif c == '"':
-                quoted = False
-            else:
-                cell.append(c)
-        elif c == '"':
-            quoted = True
-        elif c == sep:
-            out.append("".join(cell))
-            cell = []
-        else:
-            cell.append(c)
-        i += 1
-    out.append("".join(cell))
-    return out
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, n (from 0), line: the lines of all files that aren't blank."""
+    block = F.col("_metadata.file_block_start")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("record_id"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = rows.where(F.trim("line") != "")
+    sizes = rows.groupBy("record_id", "block").agg(F.count(F.lit(1)).alias("own"))
+    before = Window.partitionBy("record_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("record_id", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("record_id", "block").orderBy("at")) - 1)
+    return rows.join(sizes, ["record_id", "block"]).select("record_id", (F.col("nth") + F.col("before")).cast("long").alias("n"), "line")
+
+
+def _cells(line: Column, sep: str) -> Column:
+    """The cells of a line, trimmed; quotes may hold the separator, a doubled quote is one."""
+    plain, outside = f"\\Q{sep}\\E", f'\\Q{sep}\\E(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+    cells = F.when(line.contains('"'), F.split(line, outside, -1)).otherwise(F.split(line, plain, -1))
+
+    def content(cell: Column) -> Column:
+        cell = F.trim(cell)
+        inner = F.replace(F.substr(cell, F.lit(2), F.greatest(F.length(cell) - 2, F.lit(0))), F.lit('""'), F.lit('"'))
+        return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), inner).otherwise(cell)
+
+    return F.transform(cells, content)
+
+
+def _with_header(rows: DataFrame, sep: str) -> DataFrame:
+    """record_id, idx (from 0, below the header), names, cells."""
+    rows = rows.select("record_id", "n", _cells(F.col("line"), sep).alias("cells"))
+    heads = rows.where("n = 0").select("record_id", F.col("cells").alias("names"))
+    return rows.where("n > 0").join(heads, "record_id").select("record_id", (F.col("n") - 1).alias("idx"), "names", "cells")
 
 
 def _lines(text: str) -> list[str]:
@@ -66,51 +74,26 @@ def _read(files: DataFrame, parse) -> DataFrame:
 
 def read_modelica_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comma CSV whose first header is "time"; the last column is a dummy and goes; empty cells are 0. Rows of other lengths are an error."""
-
-    def parse(text: str):
-        head, *lines = _lines(text)
-        names = [h.strip() for h in _cells(head, ",")]
-        if names[0] != "time":
-            raise ValueError("the first column must be time")
-        table = [[float(c) if c.strip() else 0.0 for c in _cells(x, ",")] for x in lines]
-        if any(len(r) != len(names) for r in table):
-            raise ValueError("a row has another length than the header")
-        return names[1:-1], [r[:-1] for r in table]
-
-    return _read(_files(spark, path), parse)
+    rows = _with_header(_numbered(spark, path), ",")
+    wrong = F.when(F.get("names", F.lit(0)) != "time", F.raise_error(F.lit("the first column must be time")))
+    wrong = wrong.when(F.size("cells") != F.size("names"), F.raise_error(F.lit("a row has another length than the header")))
+    numbers = F.transform(F.when(F.isnull(wrong), F.col("cells")), lambda c: F.when(c == "", 0.0).otherwise(c.cast("double")))
+    rows = rows.select("record_id", "idx", "names", numbers.alias("c"))
+    picked = F.arrays_zip(F.slice("names", F.lit(2), F.size("names") - 2).alias("s"), F.slice("c", F.lit(2), F.size("names") - 2).alias("v"))
+    return rows.select("record_id", "idx", F.get("c", F.lit(0)).alias("t"), F.explode(picked).alias("x")).select("record_id", "idx", "t", F.col("x.s").alias("sig_id"), F.col("x.v").alias("v"))
 
 
 def read_columns_csv(spark: SparkSession, path: str, columns: Sequence[int], where: Column | None = None, sep: str = ";") -> DataFrame:
     """Separated file with a header: the columns at these places (the first one is the time), for rows that satisfy ``where`` (over c0, c1, ...)."""
-
-    def parse(text: str):
-        head, *lines = _lines(text)
-        names = [h.strip() for h in _cells(head, sep)]
-        table = [[_number(c) for c in _cells(x, sep)] for x in lines]
-        return names, table
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for record, text in zip(batch["record_id"], batch["text"], strict=True):
-                names, table = parse(text)
-                yield pd.DataFrame({"record_id": record, "idx": range(len(table)), "names": [names] * len(table), "cells": table})
-
-    rows = _files(spark, path).mapInPandas(each, "record_id string, idx long, names array<string>, cells array<double>")
-    width = max([*columns, 0]) + 1
+    numbers = F.transform("cells", lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double"))
+    rows = _with_header(_numbered(spark, path), sep).select("record_id", "idx", "names", numbers.alias("cells"))
     if where is not None:
-        rows = rows.withColumns({f"c{i}": F.get("cells", F.lit(i)) for i in range(width)}).where(where)
+        rows = rows.withColumns({f"c{i}": F.get("cells", F.lit(i)) for i in range(max([*columns, 0]) + 1)}).where(where)
     picked = F.array(*[F.struct(F.get("names", F.lit(i)).alias("s"), F.get("cells", F.lit(i)).alias("v")) for i in columns[1:]])
     rows = rows.select("record_id", "idx", F.get("cells", F.lit(columns[0])).alias("t"), F.explode(picked).alias("x"))
     return rows.select("record_id", "idx", "t", F.col("x.s").alias("sig_id"), F.col("x.v").alias("v"))
 
 
-def _number(cell: str) -> float | None:
-    try:
-        return float(cell.strip().replace(",", "."))
-    except ValueError:
-        return None
-
-
 def read_typed_csv(spark: SparkSession, path: str, schema: str, sep: str = ";") -> DataFrame:
     """Separated file with a header and a schema; cells that don't fit are an error."""
     return spark.read.csv(path, schema=schema, sep=sep, header=True, mode="FAILFAST", quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -118,12 +101,10 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str, sep: str = ";")
 
 def read_modelica_ascii(spark: SparkSession, path: str) -> DataFrame:
     """Blank-separated numbers without a header, time first; the last column is a dummy and goes; signals are sig_0, sig_1, ..."""
-
-    def parse(text: str):
-        table = [[float(c) for c in x.split()][:-1] for x in _lines(text)]
-        return [f"sig_{i}" for i in range(len(table[0]) - 1)] if table else [], table
-
-    return _read(_files(spark, path), parse)
+    numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda c: c.cast("double"))
+    rows = _numbered(spark, path).select("record_id", F.col("n").alias("idx"), numbers.alias("c"))
+    rows = rows.select("record_id", "idx", F.get("c", F.lit(0)).alias("t"), F.posexplode(F.slice("c", F.lit(2), F.greatest(F.size("c") - 2, F.lit(0)))).alias("i", "v"))
+    return rows.select("record_id", "idx", "t", F.concat(F.lit("sig_"), F.col("i").cast("string")).alias("sig_id"), "v")
 
 
 def read_plt(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Types, stacks, terms, the search for a balance, and energies of a stream."""
 
+import itertools
+import time
 from fractions import Fraction
 
 import pytest
@@ -99,18 +101,23 @@ def test_cube_axes():
 
 
 def test_stream_energy_equals_batch(spark, tmp_path):
+    """Samples in any order within the lateness count, those beyond it don't."""
     rows = [("a", "s", f"2024-01-01 00:00:{i:02d}", float(i * i % 7)) for i in range(20)]
-    df = spark.createDataFrame(rows, "record_id string, sig_id string, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
-    for k in range(2):
-        df.where(F.second("ts").between(10 * k, 10 * k + 9)).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    far = [("b", "s", "2024-01-01 00:10:00", 0.0)]
+    too_late = [("a", "s", "2024-01-01 00:00:03.5", 1000.0), ("b", "s", "2024-01-01 00:10:01", 2.0), ("b", "s", "2024-01-01 00:30:00", 0.0)]
+    schema = "record_id string, sig_id string, ts string, v double"
+    for batch in (rows[:4] + rows[5:10], rows[12:] + [rows[4]] + rows[10:12], far, too_late):
+        spark.createDataFrame(batch, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        time.sleep(0.02)
+    stream = spark.readStream.schema("record_id string, sig_id string, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = energy.intervals(stream).writeStream.format("memory").queryName("energy_test").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
     v = [r[3] for r in rows]
-    got = spark.table("energy_test").agg(F.count("*"), F.sum("e")).first()
-    assert got[0] == 19 and got[1] == pytest.approx(sum((a + b) / 2 for a, b in zip(v, v[1:], strict=False)))
-    w = energy.windowed(df, "10 seconds", "1 minute").agg(F.sum("n")).first()
-    assert w[0] == 20
+    got = spark.table("energy_test").where("record_id = 'a'").orderBy("ts").collect()
+    assert [r["e"] for r in got] == pytest.approx([(a + b) / 2 for a, b in itertools.pairwise(v)]) and all(r["dt"] == pytest.approx(1) for r in got)
+    assert [(r["dt"], r["e"]) for r in spark.table("energy_test").where("record_id = 'b'").collect()][0] == (pytest.approx(1), pytest.approx(1))
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
+    assert energy.windowed(df, "10 seconds", "1 minute").agg(F.sum("n")).first()[0] == 20

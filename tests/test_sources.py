@@ -24,6 +24,28 @@ def test_modelica_csv(spark, tmp_path):
         readers.read_modelica_csv(spark, bad).collect()
 
 
+def test_lines_keep_their_place_over_splits(spark, tmp_path):
+    """Files that are cut into many splits, in any order of the splits."""
+    (tmp_path / "many").mkdir()
+    for name, n in (("a", 3000), ("b", 700), ("c", 1)):
+        write(tmp_path / "many", f"{name}.csv", '"time","x;y","' + name + '",\r\n\r\n' + "".join(f"{i},{i * 2},,\r\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = readers.read_modelica_csv(spark, str(tmp_path / "many")).collect()
+        ascii_ = readers.read_modelica_ascii(spark, write(tmp_path, "l.asc", "".join(f"{i} {i + 1} 0\n" for i in range(2000)))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["record_id"][-5], r["sig_id"], r["idx"], r["t"], r["v"]) for r in got) == sorted(
+        (name, s, i, float(i), v) for name, n in (("a", 3000), ("b", 700), ("c", 1)) for i in range(n) for s, v in (("x;y", 2.0 * i), (name, 0.0))
+    )
+    assert sorted((r["idx"], r["t"], r["v"]) for r in ascii_) == [(i, float(i), i + 1.0) for i in range(2000)]
+
+
+def test_rows_of_another_length(spark, tmp_path):
+    with pytest.raises(Exception, match="length"):
+        readers.read_modelica_csv(spark, write(tmp_path, "g.csv", "time,x,\n0,1,\n1,2,3,\n")).collect()
+
+
 def test_columns_csv(spark, tmp_path):
     p = write(tmp_path, "c.csv", "name; wert; zwei\n0; 1; 5\n1; 2; 6\n2; 3; 7\n")
     assert rows(readers.read_columns_csv(spark, p, [0, 2], where=F.col("c1") > 1)) == [(1, 1.0, "zwei", 6.0), (2, 2.0, "zwei", 7.0)]
