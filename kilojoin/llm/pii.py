@@ -313,9 +313,9 @@ def everywhere(docs: DataFrame, terms: DataFrame) -> DataFrame:
     own = _holding(_keyed(docs), terms)
     blank = masked(F.col("text"), lambda kind, v: F.repeat(F.lit(MARK), F.length(v)))
     rows = own.select("h", "l", F.posexplode(located(blank, _WORD)).alias("i", "s"))
-    two = F.explode(F.array(F.lower("s.value"), F.when(has_digits(F.col("s.value")), shape(F.col("s.value"))))).alias("feature")
-    rows = rows.select("h", "l", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").rlike(KEY_PATTERN).alias("key"), two)
-    rows = rows.where("key").withColumn("share", F.lit(1.0)).drop("key", "feature").union(rows.drop("key").join(terms, "feature").select("h", "l", "i", "start", "end", "share"))
+    two = F.array_compact(F.array(F.lower("s.value"), F.when(has_digits(F.col("s.value")), shape(F.col("s.value")))))
+    rows = rows.select("h", "l", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").rlike(KEY_PATTERN).alias("key"), F.explode(two).alias("feature"))
+    rows = rows.join(terms, "feature", "left").withColumn("share", F.when(F.col("key"), 1.0).otherwise(F.col("share"))).where("share is not null")
     rows = rows.groupBy("h", "l", "i", "start", "end").agg(F.max("share").alias("share"))
     return rows.groupBy("h", "l").agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", "share"))).alias("terms"))
 

@@ -9,28 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilojoin.llm import bpe, chat, language, mixing, pii, quality, simhash, token_store, topk, toxicity
-from kilojoin.llm.common import table
+from kilojoin.llm.common import table, texts
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.rate_documents(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"), held_out=2, folds=4)
+    return language.identify(texts(spark, sf_dir), held_out=2, folds=4)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     own = bpe.round_trip_column(F.col("text"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
     return docs.select("doc_id", own.alias("own")).select("doc_id", "own.*")
 
 
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.find(texts(spark, sf_dir).select("doc_id", "text")))
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_copies(texts(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_column(F.col("code")).alias("fingerprint"), "component_id")
 
 
@@ -56,7 +56,7 @@ def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=1, folds=3)
+    return toxicity.score_documents(texts(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=1, folds=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
