@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import materialise
+from kilojoin.llm.common import discard, materialise
 
 BITS = 64
 #: Members of a leaf node, and nodes of an upper node.
@@ -279,6 +279,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(least, "a").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
         small = materialise(small.where("a <> b").distinct(), "small")
         moved = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
+        discard(edges, large)
         edges = small
         if not moved:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -308,16 +309,3 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42)
 
 def hex_column(code: Column) -> Column:
     return F.lpad(F.lower(F.hex(code)), 16, "0")
-
-
-def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the smallest doc_id.
-
-    Of rows that repeat that doc_id the one with the smallest hash over all columns stays. Rows with a null doc_id
-    can't stand for a group and stay as they are.
-    """
-    named = docs.where("doc_id is not null")
-    keep = near_copies(named, most).select(F.col("component_id").alias("doc_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    kept = named.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

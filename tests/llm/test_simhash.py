@@ -95,7 +95,7 @@ def test_components_equal_brute_force(spark, monkeypatch, run):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, groups.values()))
 
 
-def test_near_copies_and_one_of_each(spark):
+def test_near_copies(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(500)]
     base = [[rng.choice(words) for _ in range(300)] for _ in range(6)]
@@ -115,14 +115,11 @@ def test_near_copies_and_one_of_each(spark):
     for (d, _, _), w in zip(rows, want, strict=True):
         least[w] = min(d, least.get(w, d))
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, least[w]) for (d, _, _), w in zip(rows, want, strict=True))
-    one = simhash.one_of_each(df)
-    assert one.columns == df.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(least.values())
 
 
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "x")], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in simhash.near_copies(df).where("component_id is not null").collect()) == [(False, 3), (True, 3)]
-    assert simhash.one_of_each(df).count() == 3
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
