@@ -5,8 +5,9 @@
    copies of any size is one row).
 3. Two fingerprints that differ in at most d bits agree in b - d of b blocks of bits. Each fingerprint goes to one
    bucket for each choice of b - d blocks, so every link lies in some bucket. b follows from the number of
-   fingerprints, so that buckets keep their size as the corpus grows; every b is exact. Buckets that are still
-   large are cut by Gray rank into runs, and every pair of runs becomes a bucket of its own.
+   fingerprints, so that buckets keep their size as the corpus grows; every b is exact. A bucket that is still
+   large is split by further blocks: its free bits are cut into d + 1 blocks, of which a link has one in common, so each
+   of its fingerprints goes to d + 1 finer buckets; this is done FINER times at most.
 4. In a bucket, fingerprints are sorted by Gray rank and put under a tree: a leaf node stands for FAN
    neighbours, an upper node for FAN nodes. A node holds the mask of the bits that all below it share and
    their pattern; its children count only the bits that it doesn't. A search adds up the differences on its
@@ -14,6 +15,10 @@
    searcher's component is skipped, so a large group of near copies costs no list of all its pairs.
 5. A bucket returns a star for each component found in it. Stars of all buckets are joined into components by
    rounds of large-star and small-star joins on tables in the shared folder.
+6. Buckets that stay large are dense: most of their fingerprints are near copies of each other. They are cut into runs by hash.
+   First each run is linked by itself, which joins nearly all of a dense bucket into one component at a cost linear in its size.
+   Then only the fingerprints outside of the bucket's largest component visit the other runs: two fingerprints that are not joined
+   yet can't both be in it.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any
 other; repeated rows share a component; rows with a null doc_id take the component of their fingerprint and are its
@@ -31,15 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import discard, materialise
+from kilojoin.llm.common import discard, materialise, maybe_broadcast
 
 BITS = 64
 #: Members of a leaf node, and nodes of an upper node.
 FAN = 16
 #: Fingerprints that a bucket should hold on average at most; decides the number of blocks.
 BUCKET = 4096
-#: Fingerprints of one bucket that go to one task; larger buckets are cut into runs.
-RUN = 2048
+#: Fingerprints of one bucket that go to one task; larger buckets are split FINER times, and cut into runs of half as many if they stay large.
+RUN, FINER = 2048, 2
 #: Codes that hold more than one row in so many are joined by a broadcast; there can't be as many of them.
 HOT = 1000
 #: (searcher, node) pairs looked at together.
@@ -214,24 +219,37 @@ def gray_column(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(_signed(1 << 63)))
 
 
-def buckets(codes: DataFrame, most: int, blocks: int, run: int = RUN) -> DataFrame:
-    """bucket, run_a, run_b, code: each code once for each choice of blocks; codes of large buckets once for each pair of runs with theirs."""
-    masks = bucket_masks(blocks, most)
-    choice = F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice")
-    mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("choice") + 1)
-    rows = codes.select("code", choice).withColumn("part", F.col("code").bitwiseAND(mask))
-    sizes = rows.groupBy("choice", "part").count().where(F.col("count") > run).withColumnRenamed("count", "size")
-    rows = rows.join(sizes, ["choice", "part"], "left")
-    # a large bucket is cut by the hash of the code: runs are even whatever the codes are
-    runs = F.when(F.col("size").isNull(), F.lit(1)).otherwise(F.ceil(F.col("size") / F.lit(run / 2)).cast("int"))
-    rows = rows.withColumn("runs", runs).withColumn("own", F.when(F.col("runs") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("code"), F.col("runs")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("runs") - 1))
-    rows = rows.select("choice", "part", "code", "own", other.alias("other"))
-    return rows.select("choice", "part", F.least("own", "other").alias("run_a"), F.greatest("own", "other").alias("run_b"), "own", "code")
+def finer_masks(mask: int, most: int) -> list[int]:
+    """The mask with each of most + 1 blocks of its free bits added."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    cuts = [len(free) * i // (most + 1) for i in range(most + 2)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in itertools.pairwise(cuts)]
+
+
+def buckets(codes: DataFrame, most: int, blocks: int, run: int = RUN, finer: int = FINER) -> tuple[DataFrame, DataFrame]:
+    """mask, part, code of all buckets; and mask, part, size of those that are still large after all splits."""
+    spark, masks = codes.sparkSession, bucket_masks(blocks, most)
+
+    def dealt(rows: DataFrame, to: list[tuple[int, int]]) -> DataFrame:
+        into = F.broadcast(spark.createDataFrame([(_signed(m), _signed(n)) for m, n in to], "mask long, into long"))
+        return rows.join(into, "mask").select(F.col("into").alias("mask"), F.col("code").bitwiseAND(F.col("into")).alias("part"), "code")
+
+    rows = dealt(codes.select(F.lit(0).cast("long").alias("mask"), "code"), [(0, m) for m in masks])
+    for level in range(finer + 1):
+        large = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > run)
+        large = materialise(large, "large")
+        if level == finer or not large.limit(1).count():
+            return rows, large
+        split = [(m, n) for m in masks for n in finer_masks(m, most)]
+        own, key = maybe_broadcast(large.select("mask", "part")), ["mask", "part"]
+        deeper = dealt(rows.join(own, key, "left_semi"), split).distinct()
+        rows = materialise(rows.join(own, key, "left_anti").union(deeper), "buckets")
+        masks = list(dict.fromkeys([*masks, *(n for _, n in split)]))
+    return rows, large
 
 
 def stars(rows: DataFrame, most: int) -> DataFrame:
-    """code, root: for each bucket a star over each component in it, its root the smallest code in Gray order."""
+    """code, root: for each (mask, part, run) a star over each component in it, its root the first code in Gray order; codes of one side aren't compared, if it isn't negative."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -239,9 +257,8 @@ def stars(rows: DataFrame, most: int) -> DataFrame:
         def links(own: pd.DataFrame) -> pd.DataFrame:
             code = own["code"].to_numpy(np.int64).view(np.uint64)
             new = np.flatnonzero(np.concatenate([[True], (own[key].to_numpy()[1:] != own[key].to_numpy()[:-1]).any(1)]))
-            bounds = np.append(new, len(own))
-            side = np.where(own["run_a"].to_numpy() == own["run_b"].to_numpy(), np.arange(len(own)), own["own"].to_numpy())
-            label = GrayIndex(code, bounds).link(most, side)
+            bounds, side = np.append(new, len(own)), own["side"].to_numpy(np.int64)
+            label = GrayIndex(code, bounds).link(most, np.where(side < 0, -1 - np.arange(len(own)), side))
             away = np.flatnonzero(label != np.arange(len(label)))
             return pd.DataFrame({"code": code[away].view(np.int64), "root": code[label[away]].view(np.int64)})
 
@@ -255,10 +272,31 @@ def stars(rows: DataFrame, most: int) -> DataFrame:
         if rest is not None and len(rest):
             yield links(rest)
 
-    key = ["choice", "part", "run_a", "run_b"]
+    key = ["mask", "part", "run"]
     return rows.repartition(*key).sortWithinPartitions(*key, gray_column(F.col("code"))).mapInPandas(search, "code long, root long").distinct()
 
 
+def links(codes: DataFrame, most: int, blocks: int, run: int = RUN, finer: int = FINER) -> DataFrame:
+    """code, root: edges that join every two codes that differ in at most ``most`` bits."""
+    rows, large = buckets(codes, most, blocks, run, finer)
+    if not large.limit(1).count():
+        return stars(rows.select("mask", "part", F.lit(0).alias("run"), F.lit(-1).alias("side"), "code"), most)
+    key, runs = ["mask", "part"], F.ceil(F.col("size") / F.lit(run / 2)).cast("int")
+    own = F.pmod(F.xxhash64("code"), F.coalesce("runs", F.lit(1))).cast("int")
+    rows = materialise(rows.join(maybe_broadcast(large.select(*key, runs.alias("runs"))), key, "left").select(*key, "runs", own.alias("run"), "code"), "runs")
+    first = materialise(stars(rows.select(*key, "run", F.lit(-1).alias("side"), "code"), most), "stars")
+    member = components(first, "code", "root")
+    member = materialise(member.select(F.col("node").alias("code"), "component").union(member.select("component", "component").distinct()), "members")
+    # in dense buckets, codes outside of the largest component visit the other runs
+    dense = materialise(rows.where("runs is not null").join(member, "code", "left").select(*key, "runs", "run", "code", F.coalesce("component", "code").alias("component")), "dense")
+    most_of = dense.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("component", "n").alias("top"), F.count(F.lit(1)).alias("many"))
+    open_ = maybe_broadcast(materialise(most_of.where("many > 1").select(*key, "top"), "open"))
+    dense = dense.join(open_, key)
+    visits = dense.where("component <> top").select(*key, F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("at"), "run", "code").where(F.col("at") != F.col("run"))
+    met = dense.select(*key, "run", F.col("run").alias("side"), "code").union(visits.select(*key, F.col("at").alias("run"), F.col("run").alias("side"), "code"))
+    return first.union(stars(met, most))
+
+
 # components -----------------------------------------------------------------------------------------
 
 
@@ -292,7 +330,7 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42)
     """doc_id, code (long), component_id of every row of docs (doc_id, text)."""
     prints = materialise(docs.select("doc_id", fingerprint_column(F.col("text"), words, seed).alias("code")), "prints")
     codes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")), "codes")
-    found = stars(buckets(codes.select("code"), most, blocks_for(codes.count(), most)), most)
+    found = links(codes.select("code"), most, blocks_for(codes.count(), most))
     member = components(found, "code", "root")
     # the component of a code is its smallest code; the contract asks for the smallest doc_id below it
     linked = member.select(F.col("node").alias("code"), F.col("component").alias("root")).union(member.select("component", "component").distinct())

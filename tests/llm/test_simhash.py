@@ -77,12 +77,23 @@ def test_every_link_shares_a_bucket(blocks):
         assert any(a & m == b & m for m in masks)
 
 
-@pytest.mark.parametrize("run", [2048, 40])
-def test_components_equal_brute_force(spark, monkeypatch, run):
-    rng = random.Random(run)
-    codes = sorted(set(near_codes(rng, 400, 25, 6)))
+def test_a_link_shares_a_finer_bucket():
+    rng = random.Random(7)
+    for mask in (0, 0xFFFF, 0xFFFFFFFF00000000, (1 << 64) - 8):
+        finer = simhash.finer_masks(mask, 4)
+        assert len(finer) == 5 and all(m & mask == mask for m in finer)
+        free = [i for i in range(64) if not mask >> i & 1]
+        for _ in range(50):
+            differ = sum(1 << i for i in rng.sample(free, min(4, len(free))))
+            assert len(free) < 5 or any(not differ & m & ~mask for m in finer)
+
+
+@pytest.mark.parametrize("run, finer, groups", [(2048, 2, 25), (40, 2, 25), (40, 0, 25), (24, 1, 2), (24, 0, 1)])
+def test_components_equal_brute_force(spark, run, finer, groups):
+    rng = random.Random(run + finer)
+    codes = sorted(set(near_codes(rng, 400, groups, 6)))
     df = spark.createDataFrame([(simhash._signed(c),) for c in codes], "code long")
-    found = simhash.stars(simhash.buckets(df, 4, 5, run), 4)
+    found = simhash.links(df, 4, 5, run, finer)
     got = {r["node"]: r["component"] for r in simhash.components(found, "code", "root").collect()}
     signed = [simhash._signed(c) for c in codes]
     want = plain_components(codes, 4)
