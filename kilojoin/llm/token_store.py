@@ -1,17 +1,20 @@
 """Token files: one wavelet matrix per shard, with access, counting and lookup straight from the compressed file.
 
 File format (all little-endian): ``KJWM``, u32 header length, JSON header, blocks. The header names the number
-of tokens, the bit levels, the zeros of each level, the block size, the place of every compressed block and the
-ones before it. Level k holds bit (levels - 1 - k) of every token, in the order left by a stable partition of
-the level above (zeros first); its bits are packed eight to a byte and cut into blocks that are compressed each
-on its own, so one query opens one or two blocks of each level.
-
-Documents follow each other in ascending order of doc_id, each with the end id appended. A shard is one row
-(one file) of a Parquet table in the shared folder: Spark's committer writes it, so that a lost executor leaves
-no half-written shard, and the payload is the file above.
-
-Defined results: a null text is the empty text, which has only the end id; rows of equal doc_id stay next to
-each other and all are kept; an empty table gives no shards.
+of tokens, the bit levels, the zeros of each level, the place of every compressed block, the ones before it, and the place of
+the documents (ids, null flags and lengths). Level k holds bit (levels - 1 - k) of every token, in the order left by a
+stable partition of the level above (zeros first); its bits are packed eight to a byte and cut into blocks that are
+compressed each on its own, so one query opens one or two blocks of each level. An open block keeps its bits packed, with a
+directory of the ones before each 64-bit word: rank adds the block's count, the word's and one popcount, select searches the
+directory and one word. Both take arrays of positions.
+
+Documents follow each other in ascending order of doc_id (equal ids in the order of their texts' hashes), each with the end id
+appended. A shard is one row (one file) of a Parquet table in the shared folder: Spark's committer writes it, so that a lost
+executor leaves no half-written shard, and the payload is the file above.
+
+Defined results: a null text is the empty text, which has only the end id; rows of a null doc_id come first; rows of equal doc_id
+follow each other and all are kept, dealt out by their texts; columns other than doc_id and text are not read, whatever their names;
+an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -46,8 +49,6 @@ SHARD_SCHEMA = T.StructType(
         T.StructField("shard", T.LongType()),
         T.StructField("start_in_part", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
-        T.StructField("doc_ids", T.ArrayType(T.LongType())),
-        T.StructField("doc_tokens", T.ArrayType(T.LongType())),
         T.StructField("payload", T.BinaryType()),
     ]
 )
@@ -58,12 +59,13 @@ class WaveletMatrix:
 
     def __init__(self, header: dict, blob: bytes):
         self.n, self.levels, self.zeros = header["n"], header["levels"], header["zeros"]
-        self.places, self.ones, self.blob = header["places"], header["ones"], blob
-        self._open: dict[tuple[int, int], np.ndarray] = {}
+        self.places, self.blob, self.docs = header["places"], blob, header["docs"]
+        self.ones = [np.array(x, np.int64) for x in header["ones"]]
+        self._open: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
-    def write(ids: np.ndarray) -> bytes:
-        """The file of a sequence of ids."""
+    def write(ids: np.ndarray, doc_ids: list[int | None] | None = None, doc_tokens: list[int] | None = None) -> bytes:
+        """The file of a sequence of ids, and of the documents that it is cut into."""
         ids = np.asarray(ids, np.uint32)
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         own, zeros, places, ones, blocks, at = ids.astype(np.uint16 if levels <= 16 else np.uint32), [], [], [], [], 0
@@ -83,7 +85,11 @@ class WaveletMatrix:
             places.append(row)
             ones.append(counts)
             own = np.concatenate([own[~bit], own[bit]])
-        header = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "places": places, "ones": ones}).encode()
+        own = doc_ids or []
+        docs = np.array([d or 0 for d in own], "<i8").tobytes() + np.array([d is None for d in own], "u1").tobytes() + np.array(doc_tokens or [], "<i8").tobytes()
+        blocks.append(pack(docs))
+        documents = {"n": len(own), "at": at, "size": len(blocks[-1])}
+        header = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "places": places, "ones": ones, "docs": documents}).encode()
         return b"".join([MAGIC, struct.pack("<I", len(header)), header, *blocks])
 
     @classmethod
@@ -93,24 +99,56 @@ class WaveletMatrix:
         (size,) = struct.unpack("<I", data[4:8])
         return cls(json.loads(data[8 : 8 + size]), memoryview(data)[8 + size :])
 
-    def _block(self, level: int, k: int) -> np.ndarray:
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """The ids of the documents, and how many tokens each has."""
+        n, at = self.docs["n"], self.docs["at"]
+        raw = zstandard.ZstdDecompressor().decompress(self.blob[at : at + self.docs["size"]], max_output_size=17 * n + 1)
+        null = np.frombuffer(raw, "u1", n, 8 * n)
+        return [None if no else d for d, no in zip(np.frombuffer(raw, "<i8", n).tolist(), null.tolist(), strict=True)], np.frombuffer(raw, "<i8", n, 9 * n)
+
+    def _bits(self, level: int, k: int) -> bytes:
+        at, size = self.places[level][k]
+        return zstandard.ZstdDecompressor().decompress(self.blob[at : at + size], max_output_size=BLOCK_BITS // 8)
+
+    def _block(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block and the ones before each of them in the block."""
         if (level, k) not in self._open:
-            at, size = self.places[level][k]
-            raw = zstandard.ZstdDecompressor().decompress(self.blob[at : at + size], max_output_size=BLOCK_BITS // 8)
-            self._open[level, k] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+            raw = self._bits(level, k)
+            words = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
+            self._open[level, k] = words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
         return self._open[level, k]
 
-    def _rank(self, level: int, at: int) -> int:
-        """Ones before a position of a level."""
-        k = min(at // BLOCK_BITS, len(self.places[level]) - 1)
-        return self.ones[level][k] + int(np.count_nonzero(self._block(level, k)[: at - k * BLOCK_BITS]))
+    def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each position of a level."""
+        out = np.empty(len(at), np.int64)
+        blocks = np.minimum(at // BLOCK_BITS, len(self.places[level]) - 1)
+        for k in np.unique(blocks).tolist():
+            own = blocks == k
+            words, before = self._block(level, k)
+            inside = at[own] - k * BLOCK_BITS
+            word, bit = inside >> 6, (inside & 63).astype(np.uint64)
+            low = words[np.minimum(word, len(words) - 1)] & ((np.uint64(1) << bit) - np.uint64(1)) if len(words) else np.zeros(len(word), np.uint64)
+            out[own] = self.ones[level][k] + before[word] + np.bitwise_count(np.where(bit > 0, low, 0).astype(np.uint64))
+        return out
 
-    def _place(self, level: int, bit: int, count: int) -> int:
-        """The position of the bit's occurrence number count (from 0) on a level."""
-        starts = np.array(self.ones[level]) if bit else np.arange(len(self.ones[level])) * BLOCK_BITS - np.array(self.ones[level])
-        k = int(np.searchsorted(starts, count, side="right")) - 1
-        block = self._block(level, k)[: self.n - k * BLOCK_BITS]
-        return k * BLOCK_BITS + int(np.flatnonzero(block == bit)[count - int(starts[k])])
+    def _places_of(self, level: int, bit: int, count: np.ndarray) -> np.ndarray:
+        """The position of each occurrence number count (from 0) of a bit on a level."""
+        out = np.empty(len(count), np.int64)
+        starts = self.ones[level] if bit else np.arange(len(self.ones[level])) * BLOCK_BITS - self.ones[level]
+        blocks = np.searchsorted(starts, count, side="right") - 1
+        for k in np.unique(blocks).tolist():
+            own = np.flatnonzero(blocks == k)
+            words, before = self._block(level, k)
+            wanted = count[own] - starts[k]
+            if not bit:
+                words, before = ~words, np.arange(len(before)) * 64 - before
+            word = np.searchsorted(before, wanted, side="right") - 1
+            for i in range(0, len(own), 1 << 16):  # the bits of so many words at a time
+                w = word[i : i + (1 << 16)]
+                bits = np.unpackbits(words[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                nth = (wanted[i : i + (1 << 16)] - before[w])[:, None]
+                out[own[i : i + (1 << 16)]] = k * BLOCK_BITS + w * 64 + (np.cumsum(bits, 1, dtype=np.int16) > nth).argmax(1)
+        return out
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -118,8 +156,10 @@ class WaveletMatrix:
             raise IndexError(at)
         out = 0
         for level in range(self.levels):
-            bit = int(self._block(level, at // BLOCK_BITS)[at % BLOCK_BITS])
-            ones = self._rank(level, at)
+            words, _ = self._block(level, at // BLOCK_BITS)
+            inside = at % BLOCK_BITS
+            bit = int(words[inside >> 6]) >> (inside & 63) & 1
+            ones = int(self._ranks(level, np.array([at]))[0])
             at = self.zeros[level] + ones if bit else at - ones
             out = out << 1 | bit
         return out
@@ -129,7 +169,7 @@ class WaveletMatrix:
         if token >> self.levels:
             return 0, 0
         for level in range(self.levels):
-            x, y = self._rank(level, a), self._rank(level, b)
+            x, y = self._ranks(level, np.array([a, b])).tolist()
             if token >> (self.levels - 1 - level) & 1:
                 a, b = self.zeros[level] + x, self.zeros[level] + y
             else:
@@ -141,15 +181,16 @@ class WaveletMatrix:
         a, b = self._span(token, self.n if end is None else min(end, self.n))
         return b - a
 
-    def select(self, token: int, k: int) -> int:
-        """The position of occurrence k (from 0) of an id."""
+    def select(self, token: int, ks: np.ndarray) -> np.ndarray:
+        """The positions of the occurrences ks (from 0) of an id."""
         a, b = self._span(token, self.n)
-        if not 0 <= k < b - a:
-            raise IndexError(k)
-        at = a + k
+        at = np.asarray(ks, np.int64)
+        if len(at) and not (at.min() >= 0 and at.max() < b - a):
+            raise IndexError(b - a)
+        at = at + a
         for level in range(self.levels - 1, -1, -1):
             bit = token >> (self.levels - 1 - level) & 1
-            at = self._place(level, bit, at - self.zeros[level] if bit else at)
+            at = self._places_of(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def all(self) -> np.ndarray:
@@ -157,11 +198,7 @@ class WaveletMatrix:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         own = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            blocks = []
-            for k in range(len(self.places[level])):
-                at, size = self.places[level][k]
-                raw = zstandard.ZstdDecompressor().decompress(self.blob[at : at + size], max_output_size=BLOCK_BITS // 8)
-                blocks.append(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))
+            blocks = [np.unpackbits(np.frombuffer(self._bits(level, k), np.uint8), bitorder="little") for k in range(len(self.places[level]))]
             bit = np.concatenate(blocks)[: self.n].view(bool)
             above = np.empty(self.n, kind)
             above[~bit] = own[: self.zeros[level]]
@@ -247,7 +284,7 @@ def word_encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 2, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the token files of docs (doc_id, text) as one table of shards, in ascending order of doc_id.
 
-    The one exchange deals the documents out by ranges of doc_id; each task then encodes its range in order and
+    The one exchange deals the documents out by ranges of doc_id and of the text's hash, so that many rows of one id don't meet in one task; each task then encodes its range in order and
     closes a shard whenever enough tokens have gathered, so its memory is bounded by a shard and a document.
     """
 
@@ -258,7 +295,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 2, shard
         size = part = 0
 
         def close() -> pd.DataFrame:
-            row = [part, shard, start, size, docs_in, [len(x) for x in ids], WaveletMatrix.write(np.concatenate(ids))]
+            row = [part, shard, start, size, WaveletMatrix.write(np.concatenate(ids), docs_in, [len(x) for x in ids])]
             return pd.DataFrame([row], columns=SHARD_SCHEMA.names)
 
         for batch in batches:
@@ -276,16 +313,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = 2, shard
         if ids:
             yield close()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id")
-    dealt = dealt.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h")
+    dealt = dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     dealt.mapInPandas(build, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards with ``start``: the ids of all shards before each.
 
-    Parts are as many as the partitions of the exchange that wrote them; their offsets are the one small table
-    that is summed in order, and it goes to the shards by a join on the part.
+    Parts are as many as the partitions of the exchange that wrote them (spark.sql.shuffle.partitions, which bounds the
+    one task that sums their offsets in order); the offsets are one small table, and it goes to the shards by a join on the part.
     """
     from pyspark.sql import Window
 
@@ -304,20 +341,20 @@ def documents_of(shards: DataFrame) -> DataFrame:
     def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data = WaveletMatrix.read(row.payload).all().astype("<u4", copy=False)
-                many = np.asarray(row.doc_tokens, np.int64)
+                own = WaveletMatrix.read(row.payload)
+                data, (keys, many) = own.all().astype("<u4", copy=False), own.documents()
                 ends = np.cumsum(many)
                 first = ends - many
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], dtype="Int64"),
+                        "doc_id": pd.array(keys, dtype="Int64"),
                         "start": row.start + first,
                         "n_tokens": many,
                         "ids_crc32": [zlib.crc32(data[a:b].tobytes()) for a, b in zip(first.tolist(), ends.tolist(), strict=True)],
                     }
                 )
 
-    return shards.select("start", "doc_ids", "doc_tokens", "payload").mapInPandas(open_, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("start", "payload").mapInPandas(open_, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -327,8 +364,8 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 own = WaveletMatrix.read(row.payload)
-                at = [row.start + own.select(token, k) for k in range(own.count(token))]
-                yield pd.DataFrame({"part": row.part, "shard": row.shard, "position": np.array(at, np.int64)})
+                at = row.start + own.select(token, np.arange(own.count(token)))
+                yield pd.DataFrame({"part": row.part, "shard": row.shard, "position": at})
 
     return shards.select("part", "shard", "start", "payload").mapInPandas(find, "part long, shard long, position long")
 

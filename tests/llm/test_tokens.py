@@ -72,14 +72,16 @@ def test_wavelet_matrix_equals_the_array(n, top, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK_BITS", 1 << 12)
     rng = np.random.default_rng(n)
     x = rng.integers(0, top, n).astype(np.uint32)
-    own = token_store.WaveletMatrix.read(token_store.WaveletMatrix.write(x))
+    docs = [None, 7, -3][: 3 if n else 0]
+    own = token_store.WaveletMatrix.read(token_store.WaveletMatrix.write(x, docs, [5, 0, n][: len(docs)]))
+    assert own.documents()[0] == docs and own.documents()[1].tolist() == [5, 0, n][: len(docs)]
     assert own.all().tolist() == x.tolist()
     for at in rng.integers(0, n, 20).tolist() if n else []:
         t = int(x[at])
         where = np.flatnonzero(x == t)
         assert own.access(at) == t and own.count(t) == len(where) and own.count(t, at) == int((where < at).sum())
         k = int((where < at).sum())
-        assert own.select(t, k) == at
+        assert own.select(t, np.array([k])).tolist() == [at] and own.select(t, np.arange(len(where))).tolist() == where.tolist()
     assert own.count(1 << 30) == 0
     with pytest.raises(IndexError):
         own.access(n)
@@ -92,7 +94,7 @@ def test_bad_file():
 
 def test_files_hold_what_the_library_says(spark, tmp_path):
     texts = [*TEXTS, "Mixed CASE words, (and) marks!! don't 3.14 x²", "É è ﬁ ß İ"]
-    df = spark.createDataFrame([(i * 7 % 100, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, start string")
+    df = spark.createDataFrame([(i * 7 % 100, t, "x", "x", "x") for i, t in enumerate(texts)], "doc_id long, text string, h string, start string, part string")
     path = f"file://{tmp_path}/shards"
     token_store.write_shards(df, public_tokenizers.path(WORD_TOKENIZER), path, shard_tokens=50)
     shards = token_store.read_shards(spark, path)
@@ -119,3 +121,26 @@ def test_repeated_and_null_ids_are_kept(spark):
     rows = token_store.store_documents(df, public_tokenizers.path(WORD_TOKENIZER)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 1), (False, 1), (False, 2), (True, 0)]
     assert sorted(r["start"] for r in rows)[0] == 0
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    df = spark.createDataFrame([(None if i % 2 else 4, f"word {i}") for i in range(400)], "doc_id long, text string")
+    path = f"file://{tmp_path}/one"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_shards(df, public_tokenizers.path(WORD_TOKENIZER), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = token_store.read_shards(spark, path)
+    assert shards.select("part").distinct().count() > 2
+    rows = token_store.documents_of(shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 200 + [4] * 200 and len({r["ids_crc32"] for r in rows}) == 400
+
+
+def test_a_frequent_id_is_found_quickly():
+    import time
+
+    x = np.random.default_rng(1).integers(0, 3, 2_000_000).astype(np.uint32)
+    own = token_store.WaveletMatrix.read(token_store.WaveletMatrix.write(x))
+    began = time.time()
+    assert (own.select(1, np.arange(own.count(1))) == np.flatnonzero(x == 1)).all() and time.time() - began < 20
