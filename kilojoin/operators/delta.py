@@ -122,3 +122,25 @@ def mix_total(mix: Column) -> Column:
 def threshold(terms: Column, least: float) -> Column:
     """Terms of a map at least so far from zero."""
     return F.map_filter(terms, lambda _, v: F.abs(v) >= least)
+
+
+def completed(before: Column, delta: Column, after: Column) -> Column:
+    """struct<before, delta, after> from any two of them; a third that contradicts them is an error."""
+    b, d, a = F.coalesce(before, after - delta), F.coalesce(delta, after - before), F.coalesce(after, before + delta)
+    wrong = F.abs(before + delta - after) > 1e-9 * (F.abs(before) + F.abs(delta) + F.abs(after))
+    return F.when(wrong, F.raise_error(F.lit("before + delta is not after"))).otherwise(F.struct(b.alias("before"), d.alias("delta"), a.alias("after")))
+
+
+def nested(index: str, *levels: tuple[str, Column, Column]) -> Stack:
+    """A quantity that several parameters change one after the other: levels (kind, x, y) with kind before_delta, before_after or after_delta.
+
+    The first level's before is the quantity; each further level states how its parameter scales it: the stack of the product of all levels.
+    """
+    out: Stack | None = None
+    for i, (kind, x, y) in enumerate(levels):
+        before, change = {"before_delta": (x, y), "before_after": (x, y - x), "after_delta": (x - y, y)}[kind]
+        own = Stack.pair(f"{index}{i}", before, change)
+        out = own if out is None else out * own
+    if out is None:
+        raise ValueError("no level is given")
+    return out

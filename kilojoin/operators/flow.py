@@ -170,3 +170,37 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str], value: str
     """keys, before, delta, after; a side that is missing counts as unknown."""
     b, a = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
     return b.join(a, keys, "full").select(*keys, "before", (F.col("after") - F.col("before")).alias("delta"), "after")
+
+
+def cumulate_given_states(flows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """record_id, state, n_from, n_to, dt, e_out, e_in with prescribed numbers (state_key, state); sections of other states are dropped."""
+    own = states(flows).select(*PART, "state_key").join(small(numbers.select("state_key", "state")), "state_key")
+    own = flows.join(own.select(*PART, "state"), PART).where(F.col("dir") != INACTIVE)
+    return own.groupBy("record_id", "state", "n_from", "n_to").agg(*[F.sum(c).alias(c) for c in ("dt", "e_out", "e_in")])
+
+
+def accumulate(flows: DataFrame, part: list[str] | None = None) -> DataFrame:
+    """part, n_from, n_to, dt, e_out, e_in, eta, power, x_out, x_in: energies and times of intervals summed, the rest solved again from the sums."""
+    part = part or PART
+    own = flows.groupBy(*part, "n_from", "n_to").agg(*[F.sum(c).alias(c) for c in ("dt", "e_out", "e_in")])
+    key = [*part, "n_from", "n_to"]
+    return own.join(edge_etas(own, part), key).join(split_factors(own, part), key)
+
+
+def couple_sums(sums: DataFrame, scalars: DataFrame, mode: str, part: list[str] | None = None) -> DataFrame:
+    """How a storage's sum over a section goes with its sums over intervals (part, node, idx, dt, sum).
+
+    integral: part, node, sum from the intervals. equal: every interval has the section's sum (scalars: part, node, sum).
+    spread: the section's sum is dealt out in proportion to time.
+    """
+    if mode not in ("integral", "equal", "spread"):
+        raise ValueError(mode)
+    part = part or PART
+    key = [*part, "node"]
+    if mode == "integral":
+        return sums.groupBy(*key).agg(F.sum("sum").alias("sum"))
+    own = sums.select(*key, "idx", "dt").join(scalars.select(*key, F.col("sum").alias("_all")), key)
+    if mode == "equal":
+        return own.select(*key, "idx", F.col("_all").alias("sum"))
+    time = sums.groupBy(*key).agg(F.sum("dt").alias("_t"))
+    return own.join(time, key).select(*key, "idx", exprs.safe_div(F.col("_all") * F.col("dt"), F.col("_t")).alias("sum"))

@@ -154,3 +154,72 @@ def simulate(signals: DataFrame, rules: list[solver.Rule], given: Mapping[str, s
     """Wide samples with all variables of a section: powers from signals at given positions, one second for each sample."""
     rows = signals.withColumns({v: F.col(c).cast("double") for v, c in given.items()})
     return solver.solve(rows, rules)
+
+
+def interpolate_optimum(best: DataFrame, demand: DataFrame, values: Sequence[str], x: str = "req_x", y: str = "req_y") -> DataFrame:
+    """demand (record_id, idx, dx, dy, further columns) with each of ``values`` for every state, bilinear between the optima (state, x, y, values) of a grid.
+
+    Each point of the grid knows its neighbours; a demand finds its cell by merging its coordinates with the grid's axes, which are
+    small, and joins the cell by number. Demands beyond the grid, or in a cell whose corners lack an optimum, have none (null).
+    """
+    axes = {c: sorted(r[0] for r in best.select(c).distinct().limit(AXIS + 1).collect()) for c in (x, y)}
+    if any(len(a) > AXIS for a in axes.values()):
+        raise ValueError("an axis of the grid has more than %d points" % AXIS)
+    cell = lambda a, v: F.size(F.filter(F.array(*map(F.lit, a)), lambda p: p < v))  # noqa: E731  number of the right end
+    place = {c: F.array_position(F.array(*map(F.lit, a)), F.col(c)) - 1 for c, a in axes.items()}
+    grid = best.select("state", place[x].alias("i"), place[y].alias("j"), F.col(x).alias("gx"), F.col(y).alias("gy"), *values)
+    corner = F.explode(F.array(*[F.struct((F.col("i") + di).alias("ci"), (F.col("j") + dj).alias("cj")) for di in (0, 1) for dj in (0, 1)]))
+    corners = grid.select("*", corner.alias("c")).groupBy("state", F.col("c.ci").alias("ci"), F.col("c.cj").alias("cj")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"),
+        *[F.sort_array(F.collect_list(F.struct("gx", "gy", F.col(v).cast("double").alias("v")))).alias(v) for v in values],
+    ).where("n = 4")
+    inside = lambda a, v: (v >= a[0]) & (v <= a[-1])
+    asked = demand.withColumns({"ci": F.when(inside(axes[x], F.col("dx")), F.greatest(cell(axes[x], F.col("dx")), F.lit(1)).cast("long")), "cj": F.when(inside(axes[y], F.col("dy")), F.greatest(cell(axes[y], F.col("dy")), F.lit(1)).cast("long"))})
+    met = asked.join(corners, ["ci", "cj"], "left")
+    fx, fy = (F.col("dx") - F.col("x0")) / (F.col("x1") - F.col("x0")), (F.col("dy") - F.col("y0")) / (F.col("y1") - F.col("y0"))
+    v = lambda c, k: F.get(F.col(c), F.lit(k))["v"]  # noqa: E731  corners in the order of x, then y
+    between = lambda c: (v(c, 0) * (1 - fy) + v(c, 1) * fy) * (1 - fx) + (v(c, 2) * (1 - fy) + v(c, 3) * fy) * fx
+    return met.select(*demand.columns, "state", *[between(c).alias(c) for c in values])
+
+
+#: Points of an axis of the grid of optima at most.
+AXIS = 4096
+
+
+def signal_based_solution(states: DataFrame, obj: str = "obj") -> DataFrame:
+    """record_id, idx, and the row of the best state at each time, of interpolated optima (record_id, idx, state, obj, ...); ties go to the smaller state."""
+    rows = states.where(F.col(obj).isNotNull() & ~F.isnan(obj))
+    rest = [c for c in states.columns if c not in ("record_id", "idx")]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(obj), -F.col("state")))
+    return rows.groupBy("record_id", "idx").agg(best.alias("_b")).select("record_id", "idx", "_b.*")
+
+
+def optimise_and_simulate(best: DataFrame, demand: DataFrame, values: Sequence[str], rules: list[solver.Rule], given: Mapping[str, str], obj: str = "obj") -> DataFrame:
+    """One pass: optima interpolated along the demand, the best state at each time, and its section solved from the chosen controls."""
+    return simulate(signal_based_solution(interpolate_optimum(best, demand, values), obj), rules, given)
+
+
+def iterate_efficiency(evaluate: Callable[[DataFrame], DataFrame], etas: DataFrame, keys: Sequence[str], most: float = 1e-3, rounds: int = 5) -> tuple[DataFrame, int]:
+    """The outer loop: evaluate(etas) gives new efficiencies (keys, eta) until none changes by more than ``most``; the table, and the rounds it took.
+
+    Each round is a table in the shared folder, so that plans don't grow; only the largest change reaches the driver.
+    """
+    from kilojoin.plans.storage import cut
+
+    for k in range(1, rounds + 1):
+        new = cut(evaluate(etas).select(*keys, "eta"))
+        change = new.join(etas.select(*keys, F.col("eta").alias("_old")), list(keys), "left").agg(F.max(F.abs(F.col("eta") - F.coalesce("_old", F.lit(float("inf")))))).first()[0]
+        etas = new
+        if change is None or change <= most:
+            break
+    return etas, k
+
+
+#: What an optimisation starts from where nothing is known (fixed values).
+INITIAL = {"eta": 0.5, "x": 0.2, "stx": 0.5, "dt": 1.0}
+
+
+def initial_givens(rules: list[solver.Rule], known: Mapping[str, float], kinds: Sequence[str] = ("eta", "x", "stx", "dt")) -> dict[str, float]:
+    """Known values, and starting values for unknown efficiencies, shares and times."""
+    start = {v: INITIAL[k] for v in solver.variables(rules) if (k := v.split("_")[0]) in kinds and k in INITIAL}
+    return start | dict(known)

@@ -154,3 +154,44 @@ def concatenated(own: DataFrame) -> DataFrame:
     rows = own.join(first, "record_id").join(start, ["record_id", "section"]).where("section = _s or idx > _i")
     w = Window.partitionBy("record_id", "sig_id").orderBy("section", "idx")
     return rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).select("record_id", "idx", "t", "sig_id", "v")
+
+
+def consistent_edges(cut: DataFrame, edges: DataFrame) -> DataFrame:
+    """record_id, section, n_from, n_to, ok: both ends of the edge keep one sign, the same one, throughout the section; edges: n_from, n_to, sig_out, sig_in."""
+    ends = edges.select("n_from", "n_to", F.explode(F.array("sig_out", "sig_in")).alias("sig_id"))
+    own = cut.join(F.broadcast(ends), "sig_id")  # a topology's edges
+    low, high = F.min(F.least("v", "w")), F.max(F.greatest("v", "w"))
+    return own.groupBy("record_id", "section", "n_from", "n_to").agg(((low >= 0) | (high <= 0)).alias("ok"))
+
+
+def split_consistent(cut: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The intervals of sections whose edges are all consistent, and those of the others."""
+    ok = consistent_edges(cut, edges).groupBy("record_id", "section").agg(F.bool_and("ok").alias("ok"))
+    good, bad = (ok.where(c).select("record_id", "section") for c in ("ok", "not ok"))
+    return cut.join(good, ["record_id", "section"], "left_semi"), cut.join(bad, ["record_id", "section"], "left_semi")
+
+
+def chop(signals: DataFrame, cuts: DataFrame, interpolate: bool = False) -> DataFrame:
+    """record_id, sig_id, piece, t, v: signals chopped at times (record_id, t); a sample at a cut opens a piece.
+
+    interpolate: the value on the straight line at each cut closes one piece and opens the next. Cuts and samples are merged
+    in one sorted pass for each signal, so pieces need no join by ranges.
+    """
+    keys = signals.select("record_id", "sig_id").distinct()
+    marks = cuts.select("record_id", "t").distinct().join(keys, "record_id").select("record_id", "sig_id", "t", F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
+    rows = signals.select("record_id", "sig_id", "t", "v", F.lit(1).alias("kind")).unionByName(marks)
+    w = Window.partitionBy("record_id", "sig_id").orderBy("t", "kind")
+    upto, after, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    sample = lambda c: F.when(F.col("kind") == 1, F.col(c))
+    rows = rows.withColumn("piece", F.sum((F.col("kind") == 0).cast("long")).over(upto))
+    if not interpolate:
+        return rows.where("kind = 1").select("record_id", "sig_id", "piece", "t", "v")
+    t0, v0 = F.last(sample("t"), True).over(before), F.last(sample("v"), True).over(before)
+    t1, v1 = F.first(sample("t"), True).over(after), F.first(sample("v"), True).over(after)
+    rows = rows.withColumns({"t0": t0, "v0": v0, "t1": t1, "v1": v1})
+    line = F.when(F.col("t1") == F.col("t"), F.col("v1")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / F.when(F.col("t1") != F.col("t0"), F.col("t1") - F.col("t0")))
+    # a cut beyond the samples has no value; one on a sample only closes the piece before, as the sample opens the next
+    inner = F.col("v0").isNotNull() & F.col("v1").isNotNull()
+    both = F.when(F.col("t1") == F.col("t"), F.array(F.col("piece") - 1)).otherwise(F.array(F.col("piece") - 1, F.col("piece")))
+    edges = rows.where((F.col("kind") == 0) & inner).select("record_id", "sig_id", F.explode(both).alias("piece"), "t", line.alias("v"))
+    return rows.where("kind = 1").select("record_id", "sig_id", "piece", "t", "v").unionByName(edges)

@@ -338,3 +338,18 @@ def fold(df: DataFrame, start: Column, f: Callable[[Column, Column], Column], ri
     p = packed(df)
     vs = F.reverse("vs") if right else F.col("vs")
     return p.select(*KEY, F.aggregate(vs, start, f).alias("v"))
+
+
+def take_until(df: DataFrame, hit: Callable[[Column], Column]) -> DataFrame:
+    """The samples of each signal up to the first that satisfies ``hit``, it included; all, if none does."""
+    before = Window.partitionBy("record_id", "sig_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_hits", F.coalesce(F.sum(hit(F.col("v")).cast("int")).over(before), F.lit(0)))
+    return rows.where("_hits = 0").drop("_hits")
+
+
+def split_at_length(df: DataFrame, like: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first samples of each record of df, as many as ``like`` has there, and the rest."""
+    sizes = like.groupBy("record_id").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("record_id", "sig_id").orderBy("idx")
+    rows = df.withColumn("_i", F.row_number().over(w)).join(sizes, "record_id", "left").withColumn("_in", F.col("_i") <= F.coalesce("_n", F.lit(0)))
+    return rows.where("_in").drop("_i", "_n", "_in"), rows.where("not _in").drop("_i", "_n", "_in")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs
+from kilojoin.operators.symbolic import Term
 
 INIT, EXIT = "init", "exit"
 
@@ -93,8 +94,8 @@ def carry_edges(charging: list[int], discharging: list[int], ordered: bool = Tru
     return [(p, q) for p in starts for q in ends if not ordered or p == INIT or q == EXIT or p < q]
 
 
-def storage_rules(sections: list[list[tuple[object, object]]], storage: object, ordered: bool = True) -> list[Rule]:
-    """Contents, carried energies and their shares of one storage over sections (or states, which have no order)."""
+def storage_rules(sections: list[list[tuple[object, object]]], storage: object, ordered: bool = True, one: str = "one") -> list[Rule]:
+    """Contents, carried energies and their shares of one storage over sections (or states, which have no order); the shares add up to ``one``."""
     charging, discharging = _charges(sections, storage)
     edges, out = carry_edges(charging, discharging, ordered), []
     if ordered:
@@ -112,26 +113,26 @@ def storage_rules(sections: list[list[tuple[object, object]]], storage: object,
     m = lambda p, q: name("maxe", p, q, storage)
     for p in dict.fromkeys(p for p, _ in edges):
         to = [q for a, q in edges if a == p]
-        out += split_rules(name("stoutsum", p, storage), [(e(p, q), x(p, q)) for q in to])
+        out += split_rules(name("stoutsum", p, storage), [(e(p, q), x(p, q)) for q in to], one)
         if ordered:
             out.append(equal(m(p, to[0]), name("stoutsum", p, storage)))
             out += [total(m(p, a), [m(p, b), e(p, a)]) for a, b in zip(to, to[1:], strict=False)]
     for q in dict.fromkeys(q for _, q in edges):
         by = [p for p, b in edges if b == q]
-        out += split_rules(name("stinsum", q, storage), [(e(p, q), x(q, p)) for p in by])
+        out += split_rules(name("stinsum", q, storage), [(e(p, q), x(q, p)) for p in by], one)
         if ordered:
             local = name("local", q, storage)
             out += [total(local, [m(p, q) for p in by]), *[product(m(p, q), local, x(q, p)) for p in by]]
     return out
 
 
-def sequence_rules(sections: list[list[tuple[object, object]]], storages: list[object], equal_sums: bool = True) -> list[Rule]:
-    """All sections, and every storage between them."""
+def sequence_rules(sections: list[list[tuple[object, object]]], storages: list[object], equal_sums: bool = True, one: str = "one") -> list[Rule]:
+    """All sections, and every storage between them. equal_sums: what comes into a node goes out; one: what the shares of storages add up to."""
     out: list[Rule] = []
     for i, edges in enumerate(sections):
         out += section_rules(edges, i, equal_sums)
     for s in storages:
-        out += storage_rules(sections, s)
+        out += storage_rules(sections, s, one=one)
     return out
 
 
@@ -145,13 +146,24 @@ def state_rules(states: list[list[tuple[object, object]]], storages: list[object
     return out
 
 
-def cumulated_rules(edges: list[tuple[object, object]], storages: list[object]) -> list[Rule]:
-    """One section of all time; sums of a node are equal unless it is a storage."""
+def cumulated_rules(edges: list[tuple[object, object]], storages: list[object], equal_sums: bool = True) -> list[Rule]:
+    """One section of all time; sums of a node are equal unless it is a storage, or equal_sums is off."""
     rules = section_rules(edges, "c", equal_sums=False)
-    nodes = {f for f, _ in edges} & {t for _, t in edges}
+    nodes = {f for f, _ in edges} & {t for _, t in edges} if equal_sums else set()
     return rules + [equal(name("insum", "c", n), name("outsum", "c", n)) for n in sorted(nodes, key=str) if n not in storages]
 
 
+def mix_rules(variable: str, parts: Iterable[object], kind: str = "real") -> list[Rule]:
+    """A quantity that is a mix of parts. real: it is their sum. cumulative: each part also counts the parts before it, so the last is the whole."""
+    own = [name(variable, "part", p) for p in parts]
+    if kind == "real":
+        return [total(variable, own)]
+    if kind != "cumulative":
+        raise ValueError(kind)
+    steps = [name(variable, "step", i) for i in range(len(own))]
+    return [equal(own[0], steps[0]), *[total(b, [a, s]) for a, b, s in zip(own, own[1:], steps[1:], strict=False)], equal(variable, own[-1])]
+
+
 # exact values ---------------------------------------------------------------------------------------
 
 
@@ -203,6 +215,55 @@ def _conclusions(r: Rule, known: Mapping[str, Fraction]) -> list[tuple[str, Frac
     return []
 
 
+def solve_symbolic(rules: list[Rule], givens: Mapping[str, object]) -> dict[str, Term]:
+    """Terms for what follows from given terms, numbers or, for True, symbols of the variables' own names (on the driver).
+
+    A quotient by a sum has no term of its own and concludes nothing; a term that is zero is a number like any other.
+    """
+    known = {"one": Term.number(1)} | {k: Term.atom(k) if v is True else v if isinstance(v, Term) else Term.number(v) for k, v in givens.items()}
+    moved = True
+    while moved:
+        moved = False
+        for r in rules:
+            lacking = [v for v in dict.fromkeys((r.out, *r.args)) if v not in known]
+            if r.kind == "apply" or len(lacking) != 1:
+                continue
+            (v,) = lacking
+            if r.kind == "equal":
+                value = known[r.args[0] if v == r.out else r.out]
+            elif r.kind == "total":
+                value = sum((known[a] for a in r.args), Term.number(0)) if v == r.out else known[r.out] - sum((known[a] for a in r.args if a != v), Term.number(0))
+            elif v == r.out:
+                value = known[r.args[0]] * known[r.args[1]]
+            else:
+                by = known[r.args[1] if v == r.args[0] else r.args[0]]
+                if len(by.parts) != 1:
+                    continue
+                value = known[r.out] / by
+            known[v], moved = value, True
+    known.pop("one")
+    return known
+
+
+def conflicts(rules: list[Rule], givens: Mapping[str, object]) -> list[tuple[str, ...]]:
+    """The smallest sets of givens that contradict each other: without any one of a set's members its contradiction is gone (a few givens, on the driver)."""
+    left, out = dict(givens), []
+    while True:
+        try:
+            solve_exact(rules, left, tracked=True)
+            return out
+        except ValueError:
+            own = dict(left)
+            for k in list(own):
+                rest = {a: b for a, b in own.items() if a != k}
+                try:
+                    solve_exact(rules, rest, tracked=True)
+                except ValueError:
+                    own = rest
+            out.append(tuple(sorted(own)))
+            left = {k: v for k, v in left.items() if k not in own}
+
+
 # many systems ---------------------------------------------------------------------------------------
 
 

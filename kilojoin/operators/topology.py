@@ -192,3 +192,21 @@ def first_come_numbers(keys: DataFrame, by: list[str], key: str, order: str) ->
     """by, key, number: keys numbered in the order of their first appearance."""
     first = keys.groupBy(*by, key).agg(F.min(order).alias("_first"))
     return first.withColumn("number", (F.row_number().over(Window.partitionBy(*by).orderBy("_first", key)) - 1).cast("long")).drop("_first")
+
+
+def map_nodes(nodes: DataFrame, edges: DataFrame, name: Callable[[Column], Column], type_: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with renamed nodes and, by type_(name, type), new types; two nodes of one new name are an error."""
+    new = nodes.select(name(F.col("node")).alias("node"), (type_(F.col("node"), F.col("type")) if type_ else F.col("type")).alias("type"))
+    twice = checked(new.groupBy("node").agg(F.count(F.lit(1)).alias("n")), F.col("n") > 1, "two nodes get one name")
+    return new.join(twice.select("node"), "node", "left_semi"), edges.withColumns({"n_from": name(F.col("n_from")), "n_to": name(F.col("n_to"))})
+
+
+def map_edges(edges: DataFrame, **labels: Callable[..., Column]) -> DataFrame:
+    """Edges with labels worked out from both ends: each function takes (n_from, n_to)."""
+    return edges.withColumns({k: f(F.col("n_from"), F.col("n_to")) for k, f in labels.items()})
+
+
+def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with ins and outs, zero where no edge ends."""
+    own = nodes.join(neighbours(edges), "node", "left")
+    return own.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ins", "outs")})
