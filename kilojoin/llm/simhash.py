@@ -234,7 +234,8 @@ def buckets(codes: DataFrame, most: int, blocks: int, run: int = RUN, finer: int
         into = F.broadcast(spark.createDataFrame([(_signed(m), _signed(n)) for m, n in to], "mask long, into long"))
         return rows.join(into, "mask").select(F.col("into").alias("mask"), F.col("code").bitwiseAND(F.col("into")).alias("part"), "code")
 
-    rows = dealt(codes.select(F.lit(0).cast("long").alias("mask"), "code"), [(0, m) for m in masks])
+    rows = codes.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "code")
+    rows = rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("part"), "code")
     for level in range(finer + 1):
         large = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > run)
         large = materialise(large, "large")
