@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoin.llm import bpe, chat, language, mixing, pii, quality, simhash, token_store, topk, toxicity
+from kilojoin.llm import bpe, chat, language, mixing, pii, quality, sharding, simhash, token_store, topk, toxicity, trie, yinyang
 from kilojoin.llm.common import table, texts
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,18 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(texts(spark, sf_dir), table(spark, sf_dir, "labels"), held_out=1, folds=3)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.spliced_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.summary(sharding.assign(texts(spark, sf_dir)))
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clusters(texts(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_centroid_language": op2_centroid_language,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_toxic_segments": op10_toxic_segments,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_byte_shards": op12_byte_shards,
+    "op13_yinyang": op13_yinyang,
 }
 
-ORACLES: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op8_poisson_mixing": mixing.ORACLE, "op9_bit_sliced": topk.ORACLE}
+ORACLES: dict[str, str] = {"op6_chat_snapshots": chat.ORACLE, "op8_poisson_mixing": mixing.ORACLE, "op9_bit_sliced": topk.ORACLE, "op11_prefix_trie": trie.ORACLE, "op12_byte_shards": sharding.ORACLE, "op13_yinyang": yinyang.ORACLE}
