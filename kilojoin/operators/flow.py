@@ -141,29 +141,40 @@ def balance(sums: DataFrame) -> DataFrame:
 START_PART, END_PART = -1, 2**63 - 1
 
 
-def carry_edges(sums: DataFrame, initial: float = 0.0) -> DataFrame:
+def carry_edges(sums: DataFrame, initial: float | DataFrame = 0.0, ends: bool = False) -> DataFrame:
     """record_id, node, part_from, part_to, max_energy, energy: what each later discharge, and the end, takes from the start and each charge.
 
     A discharge takes from what is left of each earlier charge in proportion, so a charge keeps the product of
     (1 - discharge / content) over the discharges since: a difference of running sums of logarithms. Pairs exist within one
-    storage of one record only, and are the result.
+    storage of one record only, and are the result. initial: a content, or a table (record_id, node, _init). ends: only what comes from
+    the start or stays to the end.
     """
+    own, all_ = _kept(sums if isinstance(initial, DataFrame) else sums.withColumn("_init", F.lit(float(initial))), initial)
+    start = all_.select("record_id", "node", F.lit(START_PART).cast("long").alias("part_from"), F.col("_init").alias("_e"), F.lit(0.0).alias("_from"))
+    charges = own.where("in_sum > 0").select("record_id", "node", F.col("section").alias("part_from"), F.col("in_sum").alias("_e"), F.col("_l1").alias("_from"))
+    end = all_.select("record_id", "node", F.lit(END_PART).cast("long").alias("part_to"), F.col("_end").alias("_to"), F.lit(1.0).alias("_share"))
+    discharges = own.where("out_sum > 0").select("record_id", "node", F.col("section").alias("part_to"), F.col("_l0").alias("_to"), "_share")
+    if ends:
+        pairs = start.join(record.stacked(discharges, end, "record_id", "node"), ["record_id", "node"]).unionByName(charges.join(end, ["record_id", "node"]))
+    else:
+        pairs = record.stacked(start, charges, "record_id", "node").join(record.stacked(discharges, end, "record_id", "node"), ["record_id", "node"]).where("part_from < part_to")
+    most = F.col("_e") * F.exp(F.col("_to") - F.col("_from"))
+    return pairs.select("record_id", "node", "part_from", "part_to", most.alias("max_energy"), (most * F.col("_share")).alias("energy"))
+
+
+def _kept(sums: DataFrame, initial: float | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each section's share of what is left, and the running logarithms of what stays before (_l0) and after it (_l1); and the start and end of each storage."""
+    if isinstance(initial, DataFrame):
+        sums = sums.join(initial, ["record_id", "node"])
     w = Window.partitionBy("record_id", "node").orderBy("section")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     gain, loss = F.coalesce("in_sum", F.lit(0.0)), F.coalesce("out_sum", F.lit(0.0))
-    rows = sums.withColumn("_after", F.lit(initial) + F.sum(gain - loss).over(upto)).withColumn("_before", F.col("_after") + loss)
+    rows = sums.withColumn("_after", F.col("_init") + F.sum(gain - loss).over(upto)).withColumn("_before", F.col("_after") + loss)
     share = F.when(loss > 0, exprs.safe_div(loss, F.col("_before"))).otherwise(0.0)
     rows = rows.withColumn("_share", share).withColumn("_log", F.log(F.greatest(1 - F.col("_share"), F.lit(1e-300))))
     rows = rows.withColumn("_l0", F.coalesce(F.sum("_log").over(before), F.lit(0.0))).withColumn("_l1", F.sum("_log").over(upto))
-    own = rows.select("record_id", "node", "section", "in_sum", "out_sum", "_share", "_l0", "_l1")
-    all_ = own.groupBy("record_id", "node").agg(F.max_by("_l1", "section").alias("_end"))
-    start = all_.select("record_id", "node", F.lit(START_PART).cast("long").alias("part_from"), F.lit(float(initial)).alias("_e"), F.lit(0.0).alias("_from"))
-    charges = record.stacked(start, own.where("in_sum > 0").select("record_id", "node", F.col("section").alias("part_from"), F.col("in_sum").alias("_e"), F.col("_l1").alias("_from")), "record_id", "node")
-    end = all_.select("record_id", "node", F.lit(END_PART).cast("long").alias("part_to"), F.col("_end").alias("_to"), F.lit(1.0).alias("_share"))
-    discharges = record.stacked(own.where("out_sum > 0").select("record_id", "node", F.col("section").alias("part_to"), F.col("_l0").alias("_to"), "_share"), end, "record_id", "node")
-    pairs = charges.join(discharges, ["record_id", "node"]).where("part_from < part_to")
-    most = F.col("_e") * F.exp(F.col("_to") - F.col("_from"))
-    return pairs.select("record_id", "node", "part_from", "part_to", most.alias("max_energy"), (most * F.col("_share")).alias("energy"))
+    own = rows.select("record_id", "node", "section", "in_sum", "out_sum", "_share", "_l0", "_l1", "_init")
+    return own, own.groupBy("record_id", "node").agg(F.max_by("_l1", "section").alias("_end"), F.first("_init").alias("_init"))
 
 
 def differences(before: DataFrame, after: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
