@@ -6,11 +6,12 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from kilojoin.operators import sequence
+from kilojoin.operators import mixed, sequence, solver, track
 from kilojoin.plans import fixtures as fx
-from kilojoin.plans.fixtures import FLOW
+from kilojoin.plans.fixtures import FLOW, SEG, SIG
 from kilojoin.plans.flow_queries import TRIPOD, TRIPOD_GIVEN, flows
 from kilojoin.plans.registry import query, r
+from kilojoin.plans.segment_queries import cut
 
 #: The record number of the worked example among the records of the events.
 EXAMPLE = -1
@@ -86,3 +87,68 @@ def solve_record_sequences(spark, d):
     all_ = own.select("record_id", "section", "n_from", "n_to", "dir").unionByName(edges)
     out = sequence.solve(all_, record_givens(own).unionByName(values), ["b", "3"])
     return out.select("record_id", "section", "until", "variable", r("value", 4))
+
+
+BRANCH = solver.section_rules([("a", "b"), ("b", "c"), ("b", "d")], 0)
+#: What a sample's section is given by in the tracked queries, and what some rows know twice.
+TRACKED = SIG + """, g AS (SELECT record_id, idx, abs(p1) + 1 AS p, 0.5 + idx % 10 / 25.0 AS eta, 0.25 AS x, 2.0 AS dt,
+  idx % 3 = 0 AS twice, CASE WHEN idx % 7 = 0 THEN 0.5 ELSE 0 END AS wrong FROM wide)"""
+
+
+def tracked_given(spark, d):
+    """Every third sample also measures the power behind the first edge, which every seventh measures wrong."""
+    eta, p = 0.5 + F.col("idx") % 10 / 25.0, F.abs("p1") + 1
+    again = F.when(F.col("idx") % 3 == 0, p * eta + F.when(F.col("idx") % 7 == 0, 0.5).otherwise(0.0))
+    return fx.wide(spark, d).select("record_id", "idx", p.alias("p_0_a_b"), eta.alias("eta_0_a_b"), F.lit(0.25).alias("x_0_b_c"), F.lit(2.0).alias("dt_0"), again.alias("p_0_b_a"))
+
+
+@query(TRACKED + """ SELECT record_id, idx, 1 AS nth, 'p_0_b_a = eta_0_a_b * p_0_a_b' AS rule, 'eta_0_a_b,p_0_a_b,p_0_b_a' AS givens, round(wrong::DOUBLE, 6) AS deviation FROM g WHERE twice AND wrong > 0""")
+def tracked_contradictions(spark, d):
+    """Of all samples those that contradict themselves, with the rule and the fewest givens that do."""
+    _, off = track.solve(tracked_given(spark, d), BRANCH, ["record_id", "idx"])
+    return off.select("record_id", "idx", "nth", "rule", F.array_join("givens", ",").alias("givens"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(TRACKED + """, v AS (SELECT record_id, idx, 'p_0_b_a' AS variable, CASE WHEN twice THEN p * eta + wrong ELSE p * eta END AS value, CASE WHEN NOT twice THEN 'p_0_b_a = eta_0_a_b * p_0_a_b' END AS rule,
+  CASE WHEN twice THEN 'p_0_b_a' ELSE 'eta_0_a_b,p_0_a_b' END AS givens FROM g
+UNION ALL SELECT record_id, idx, 'e_0_a_b', p * dt, 'e_0_a_b = dt_0 * p_0_a_b', 'dt_0,p_0_a_b' FROM g
+UNION ALL SELECT record_id, idx, 'x_0_b_d', 1 - x, '1 = x_0_b_c + x_0_b_d', 'x_0_b_c' FROM g
+UNION ALL SELECT record_id, idx, 'outsum_0_b', dt * CASE WHEN twice THEN p * eta + wrong ELSE p * eta END, 'insum_0_b = outsum_0_b', CASE WHEN twice THEN 'dt_0,p_0_b_a' ELSE 'dt_0,eta_0_a_b,p_0_a_b' END FROM g)
+SELECT record_id, idx, variable, round(value, 6) AS value, rule, givens FROM v""")
+def tracked_values(spark, d):
+    """Some values of every sample, each with the rule and the givens that it rests on."""
+    values, _ = track.solve(tracked_given(spark, d), BRANCH, ["record_id", "idx"])
+    values = values.where(F.col("variable").isin("p_0_b_a", "e_0_a_b", "x_0_b_d", "outsum_0_b"))
+    return values.select("record_id", "idx", "variable", F.round("value", 6).alias("value"), "rule", F.array_join("givens", ",").alias("givens"))
+
+
+MIXED = SEG + """, s AS (SELECT record_id, section, idx, dt / 3600 AS dt, abs(v + w) / 2 + 1 AS p FROM cut WHERE sig_id = 'p1' AND dt > 0),
+m AS (SELECT *, p * dt AS e_ab, p * dt * (0.5 + idx % 5 / 10.0) AS e_ba FROM s),
+sec AS (SELECT record_id, section, sum(dt) AS time, sum(e_ab) AS ab, sum(e_ba) AS ba, 0.25 + section % 3 / 10.0 AS mean_bc FROM m GROUP BY ALL)
+"""
+
+
+def mixed_grains(spark, d):
+    """Samples know what goes into the first edge and how much of it comes out; sections know only the mean power of the second edge."""
+    own = cut(spark, d).where("sig_id = 'p1' and dt > 0")
+    p, dt = F.abs(F.col("v") + F.col("w")) / 2 + 1, F.col("dt") / 3600
+    samples = own.select("record_id", "section", "idx", dt.alias("dt"), p.alias("p_ab"), (0.5 + F.col("idx") % 5 / 10.0).alias("eta_ab"))
+    sections = samples.select("record_id", "section").distinct().withColumn("P_bc", 0.25 + F.col("section") % 3 / 10.0)
+    signal_rules = [solver.product("e_ab", "dt", "p_ab"), solver.product("e_bc", "dt", "p_bc"), solver.product("e_ba", "eta_ab", "e_ab"), solver.total("e_ba", ["e_bc", "e_bd"])]
+    scalar_rules = [solver.product("E_bc", "T", "P_bc"), solver.total("E_ba", ["E_bc", "E_bd"]), solver.product("E_ba", "eta", "E_ab")]
+    couplings = [mixed.Coupling("T", "dt"), mixed.Coupling("E_ab", "e_ab"), mixed.Coupling("E_ba", "e_ba"), mixed.Coupling("E_bd", "e_bd"), mixed.Coupling("P_bc", "p_bc", "mean", spread=True)]
+    return mixed.solve(samples, sections, signal_rules, scalar_rules, couplings)
+
+
+@query(MIXED + """SELECT record_id, section, round(time, 4) + 0.0 AS time, round(ab, 4) + 0.0 AS e_ab, round(time * mean_bc, 4) + 0.0 AS e_bc, round(ba - time * mean_bc, 4) + 0.0 AS e_bd, round(ba / ab, 4) + 0.0 AS eta FROM sec""")
+def mixed_scalars(spark, d):
+    """Section values that follow from samples and section means together."""
+    _, sections = mixed_grains(spark, d)
+    return sections.select("record_id", "section", *[r(F.col(c), 4).alias(n) for c, n in (("T", "time"), ("E_ab", "e_ab"), ("E_bc", "e_bc"), ("E_bd", "e_bd"), ("eta", "eta"))])
+
+
+@query(MIXED + """SELECT record_id, section, idx, round(dt * mean_bc, 4) + 0.0 AS e_bc, round(e_ba - dt * mean_bc, 4) + 0.0 AS e_bd FROM m JOIN sec USING (record_id, section)""")
+def mixed_signals(spark, d):
+    """Sample values that follow from section means, spread over time, and from samples."""
+    samples, _ = mixed_grains(spark, d)
+    return samples.select("record_id", "section", "idx", r(F.col("e_bc"), 4).alias("e_bc"), r(F.col("e_bd"), 4).alias("e_bd"))
