@@ -33,7 +33,6 @@ from kilojoin.llm.prefix import running, with_owner
 #: Ids that are packed into one row before they are hashed.
 PACKED = 1024
 NODE = ["a", "b"]
-ROOT = F.lit(0).cast("long")
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def spliced(own: DataFrame, group: int = 5, most: int = 8) -> DataFrame:
 def prefixes(rows: DataFrame) -> DataFrame:
     """conv_id, depth, bytes, a, b (digest of the prefix), pa, pb (of the prefix before), for rows (conv_id, depth, d, bytes) with one of depth 0 for each conversation."""
     both = F.md5(F.concat(F.col("depth").cast("string"), F.lit(":"), "d").cast("binary"))
-    own = {n: F.when(F.col("depth") > 0, F.conv(F.substring(both, at, 15), 16, 10).cast("long")).otherwise(ROOT) for n, at in (("x", 1), ("y", 17))}
+    own = {n: F.when(F.col("depth") > 0, F.conv(F.substring(both, at, 15), 16, 10).cast("long")).otherwise(F.lit(0).cast("long")) for n, at in (("x", 1), ("y", 17))}
     summed = running(rows.withColumns(own).select("conv_id", "depth", "bytes", "x", "y"), ["conv_id"], ["depth"], xors={"a": "x", "b": "y"})
     return summed.select("conv_id", "depth", "bytes", "a", "b", F.col("a").bitwiseXOR(F.col("x")).alias("pa"), F.col("b").bitwiseXOR(F.col("y")).alias("pb"))
 
