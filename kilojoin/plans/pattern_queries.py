@@ -83,7 +83,7 @@ def curve_lookup(spark, d):
 N, LEAST = 30, 1e-3
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT user_id AS record_id, event_id % {N} AS i, (sum(round(value * 100)::BIGINT) - 5000 * count(*)) / (200000.0::DOUBLE * count(*)) AS d FROM events GROUP BY ALL),
+@query(f"""WITH RECURSIVE d AS (SELECT user_id AS record_id, event_id % {N} AS i, (sum(round(value * 100)::BIGINT) - 5000 * count(*)) / (199999.0::DOUBLE * count(*)) AS d FROM events GROUP BY ALL),
 w AS (SELECT record_id, product(1 + d) AS whole, product(1 + abs(d)) AS reach FROM d GROUP BY ALL),
 t AS (SELECT record_id, -1::BIGINT AS last, ''::VARCHAR AS changed, 1.0::DOUBLE AS value FROM w
   UNION ALL SELECT t.record_id, d.i, CASE t.changed WHEN '' THEN '' ELSE t.changed || ',' END || 'x' || d.i, t.value * d.d FROM t JOIN d ON d.record_id = t.record_id AND d.i > t.last JOIN w ON w.record_id = t.record_id
@@ -95,7 +95,7 @@ UNION ALL SELECT record_id, count(*) + 1, NULL, round(any_value(whole) - sum(val
 def sparse_attribution(spark, d):
     """How thirty parameters of every record, each changed a little, change their product: the terms that matter, and the rest as one."""
     name = F.concat(F.lit("x"), F.col("event_id") % N)
-    own = fx.table(spark, d, "events").select(F.col("user_id").alias("record_id"), name.alias("x"), "value").groupBy("record_id", "x").agg(((F.sum(F.round(F.col("value") * 100).cast("long")) - 5000 * F.count(F.lit(1))) / (200000.0 * F.count(F.lit(1)))).alias("d"))
+    own = fx.table(spark, d, "events").select(F.col("user_id").alias("record_id"), name.alias("x"), "value").groupBy("record_id", "x").agg(((F.sum(F.round(F.col("value") * 100).cast("long")) - 5000 * F.count(F.lit(1))) / (199999.0 * F.count(F.lit(1)))).alias("d"))
     rows = own.groupBy("record_id").pivot("x", [f"x{i}" for i in range(N)]).agg(F.first("d"))
     terms = sparse_stack.product(rows, ["record_id"], [(f"x{i}", F.lit(1.0), F.col(f"x{i}")) for i in range(N)], LEAST)
     return sparse_stack.ranked(terms, ["record_id"]).select("record_id", "nth", "changed", r("value", 9))
