@@ -82,8 +82,11 @@ def stored(rows: DataFrame, n: int, key: Sequence[str] = ("record_id", "node"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     gain, loss = F.coalesce(total("in_mix"), F.lit(0.0)), F.coalesce("out_sum", F.lit(0.0))
     rows = rows.withColumns({"_in": gain, "_out": loss})
-    rows = rows.withColumn("_after", total("init_mix") + F.sum(F.col("_in") - F.col("_out")).over(upto))
-    rows = rows.withColumn("_share", F.when(F.col("_out") > 0, F.least(exprs.safe_div(F.col("_out"), F.col("_after") + F.col("_out")), F.lit(1.0))).otherwise(0.0))
+    # contents never fall below zero: the running sum less how far it has been below
+    rows = rows.withColumn("_sum", total("init_mix") + F.sum(F.col("_in") - F.col("_out")).over(upto))
+    rows = rows.withColumn("_after", F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(upto)))
+    taken = F.when(F.col("_after") <= 0, F.lit(1.0)).otherwise(exprs.safe_div(F.col("_out"), F.col("_after") + F.col("_out")))
+    rows = rows.withColumn("_share", F.when(F.col("_out") > 0, taken).otherwise(0.0))
     rows = rows.withColumn("_empty", F.coalesce(F.sum((F.col("_share") >= 1).cast("long")).over(before), F.lit(0)))
     rows = rows.withColumn("_log", F.when(F.col("_share") < 1, F.log(1 - F.col("_share"))).otherwise(0.0))
     life = Window.partitionBy(*key, "_empty").orderBy("section")
@@ -104,4 +107,4 @@ def stored(rows: DataFrame, n: int, key: Sequence[str] = ("record_id", "node"))
     rows = rows.join(ends, [*key, "_empty", "_seg"], "left")
     level = [F.exp(F.col("_l") + F.col("_seg") * RANGE) * (F.col(f"_s{i}") + F.coalesce(f"_b{i}", F.lit(0.0)) * F.exp(F.lit(-RANGE))) for i in range(n)]
     left = 1 - F.col("_share")
-    return rows.select(*key, "section", F.greatest("_after", F.lit(0.0)).alias("content"), "out_sum", F.array(*[x * left for x in level]).alias("content_mix"), F.array(*[x * F.col("_share") for x in level]).alias("out_mix"))
+    return rows.select(*key, "section", F.col("_after").alias("content"), "out_sum", F.array(*[x * left for x in level]).alias("content_mix"), F.array(*[x * F.col("_share") for x in level]).alias("out_mix"))

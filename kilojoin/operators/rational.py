@@ -62,15 +62,39 @@ def _pseudo_rest(p: Term, q: Term, x: str) -> Term:
     return p
 
 
+def _may_share(p: Term, q: Term, x: str) -> bool:
+    """Whether a common divisor may hold x: not if p and q with numbers for all other quantities have none, as long as their highest powers of x remain."""
+    at = {a: Fraction(k * k + 7, 3 * k + 2) for k, a in enumerate(sorted((p.atoms() | q.atoms()) - {x}), 2)}
+    a, b = ({n: v for n, c in _by_power(t, x).items() if (v := c.evaluate(at))} for t in (p, q))
+    if not a or not b or max(a) < max(_by_power(p, x)) or max(b) < max(_by_power(q, x)):
+        return True
+    while b:  # Euclid's algorithm with numbers as coefficients
+        while a and max(a) >= max(b):
+            n, m = max(a), max(b)
+            f = a[n] / b[m]
+            for k, v in b.items():
+                a[k + n - m] = a.get(k + n - m, Fraction(0)) - f * v
+            a = {k: v for k, v in a.items() if v}
+        a, b = b, a
+    return max(a) > 0
+
+
 def gcd(p: Term, q: Term) -> Term:
     """A greatest common divisor of two polynomials, by Euclid's algorithm in one quantity after the other; leading coefficient 1."""
     if p.is_zero() or q.is_zero():
         p = q if p.is_zero() else p
         return p if p.is_zero() else p / p.parts[_leading(p, sorted(p.atoms()))]
-    names = sorted(p.atoms() | q.atoms())
-    if not names:
+    for a, b in ((p, q), (q, p)):
+        if divided(a, b) is not None:
+            return b / b.parts[_leading(b, sorted(b.atoms()))]
+    shared = [n for n in sorted(p.atoms() & q.atoms()) if _may_share(p, q, n)]
+    if not shared:
         return ONE
-    x = names[0]
+    for n in sorted((p.atoms() | q.atoms()) - set(shared)):  # a common divisor without n divides all coefficients of n's powers
+        if n in p.atoms():
+            return gcd(_content(p, n), q)
+        return gcd(p, _content(q, n))
+    x = shared[0]
     a, b = _content(p, x), _content(q, x)
     common = gcd(a, b)
     p, q = divided(p, a), divided(q, b)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from kilojoin.operators import balance, mix, rational, segment, solver
 from kilojoin.plans import fixtures as fx
+from kilojoin.plans import segment_queries
 from kilojoin.plans.fixtures import SEG, SIG
 from kilojoin.plans.registry import query, r
-from kilojoin.plans.segment_queries import cut
 
 # symbolic results with quotients by sums ------------------------------------------------------------
 
@@ -76,7 +76,7 @@ x AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY secti
 SELECT record_id, section, round(c0 + c1 + c2, 4) AS content, round(c0, 4) AS from_start, round(c1, 4) AS from_first, round(c2, 4) AS from_second, round(out1, 4) + 0.0 AS out_first FROM run""")
 def storage_mix(spark, d):
     """Origins of what a storage holds, and of what is taken from it, over the sections of every record: two sources and what it held at the start."""
-    e = segment.section_energy(cut(spark, d)).groupBy("record_id", "section").agg(*[F.max(F.when(F.col("sig_id") == s, F.abs("e"))).alias(s) for s in ("p1", "p2", "p3")])
+    e = segment.section_energy(segment_queries.cut(spark, d)).groupBy("record_id", "section").agg(*[F.max(F.when(F.col("sig_id") == s, F.abs("e"))).alias(s) for s in ("p1", "p2", "p3")])
     n = F.col("section")
     on = lambda test, c, plus: F.when(test, F.col(c) / 1e6 + plus).otherwise(0.0)
     rows = e.select("record_id", F.lit("b").alias("node"), "section", F.array(F.lit(0.0), on(n % 2 == 0, "p1", 1), on(n % 3 == 0, "p2", 1)).alias("in_mix"), on(n % 2 == 1, "p3", 0.5).alias("out_sum"), F.array(F.lit(1000.0), F.lit(0.0), F.lit(0.0)).alias("init_mix"))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from kilojoin.operators import mixed, sequence, solver, track
 from kilojoin.plans import fixtures as fx
+from kilojoin.plans import flow_queries, segment_queries
 from kilojoin.plans.fixtures import FLOW, SEG, SIG
-from kilojoin.plans.flow_queries import TRIPOD, TRIPOD_GIVEN, flows
 from kilojoin.plans.registry import query, r
-from kilojoin.plans.segment_queries import cut
 
 #: The record number of the worked example among the records of the events.
 EXAMPLE = -1
@@ -20,8 +19,8 @@ EXAMPLE = -1
 def _example(spark, d):
     """The worked sequence as a record beside those of the table (one row of nation names it)."""
     own = fx.table(spark, d, "nation").where("n_nationkey = 0").select(F.lit(EXAMPLE).cast("long").alias("record_id"))
-    values = F.array(*[F.struct(F.lit(int(i)).cast("long").alias("section"), F.lit("_".join([kind, *rest])).alias("variable"), F.lit(float(Fraction(v))).alias("value")) for k, v in TRIPOD_GIVEN.items() for kind, i, *rest in [k.split("_")]])
-    return sequence.edges_of(own, TRIPOD, F.col("record_id")), own.select("record_id", F.inline(values))
+    values = F.array(*[F.struct(F.lit(int(i)).cast("long").alias("section"), F.lit("_".join([kind, *rest])).alias("variable"), F.lit(float(Fraction(v))).alias("value")) for k, v in flow_queries.TRIPOD_GIVEN.items() for kind, i, *rest in [k.split("_")]])
+    return sequence.edges_of(own, flow_queries.TRIPOD, F.col("record_id")), own.select("record_id", F.inline(values))
 
 
 def record_givens(own):
@@ -82,7 +81,7 @@ car AS (SELECT record_id, -1 AS section, section AS until, init * exp(l1 - ln(1
 SELECT record_id, section::BIGINT AS section, until, variable, round(value, 4) + 0.0 AS value FROM all_""")
 def solve_record_sequences(spark, d):
     """Every variable of every section of all records, and of the worked example, each section with the directions that its data has."""
-    own = flows(spark, d)
+    own = flow_queries.flows(spark, d)
     edges, values = _example(spark, d)
     all_ = own.select("record_id", "section", "n_from", "n_to", "dir").unionByName(edges)
     out = sequence.solve(all_, record_givens(own).unionByName(values), ["b", "3"])
@@ -130,7 +129,7 @@ sec AS (SELECT record_id, section, sum(dt) AS time, sum(e_ab) AS ab, sum(e_ba) A
 
 def mixed_grains(spark, d):
     """Samples know what goes into the first edge and how much of it comes out; sections know only the mean power of the second edge."""
-    own = cut(spark, d).where("sig_id = 'p1' and dt > 0")
+    own = segment_queries.cut(spark, d).where("sig_id = 'p1' and dt > 0")
     p, dt = F.abs(F.col("v") + F.col("w")) / 2 + 1, F.col("dt") / 3600
     samples = own.select("record_id", "section", "idx", dt.alias("dt"), p.alias("p_ab"), (0.5 + F.col("idx") % 5 / 10.0).alias("eta_ab"))
     sections = samples.select("record_id", "section").distinct().withColumn("P_bc", 0.25 + F.col("section") % 3 / 10.0)
