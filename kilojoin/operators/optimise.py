@@ -95,6 +95,10 @@ def power_matrix(best: DataFrame, x: str, y: str, value: str) -> DataFrame:
     return cube.matrix(best.select(F.col(x).alias("x0"), F.col(y).alias("x1"), F.col(value).alias("v")))
 
 
+#: How a bracket's width becomes the next step (fixed value).
+SHRINK = 1.7
+
+
 @dataclass
 class Drive:
     """The search for a storage's drive: the step doubles until the balance changes sign, then the bracket shrinks."""
@@ -116,7 +120,7 @@ class Drive:
         else:
             self.high = (self.value, balance)
         if self.low and self.high:
-            self.step = (self.high[0] - self.low[0]) / 1.7
+            self.step = (self.high[0] - self.low[0]) / SHRINK
             self.value = self.low[0] + self.step if balance < 0 else self.high[0] - self.step
         else:
             self.value += self.step if balance < 0 else -self.step

@@ -96,7 +96,8 @@ def resample(df: DataFrame, times: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("t", "_asked", "idx")
     rows = stacked(samples, asked, *KEY)
     rows = rows.withColumn("_a", F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_b", F.first("_s", True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_asked = 1")
+    back = Window.partitionBy(*KEY).orderBy(F.desc("t"), F.desc("_asked"), F.desc("idx"))  # what follows, as a frame that grows: a shrinking one is summed anew for each row
+    rows = rows.withColumn("_b", F.last("_s", True).over(back.rowsBetween(Window.unboundedPreceding, -1))).where("_asked = 1")
     hit = F.when(F.col("_a.pt") == F.col("t"), (F.col("_a.pv") + F.col("_a.v")) / 2).otherwise(F.col("_a.v"))
     line = exprs.linear(F.col("_a.t"), F.col("_b.t"), F.col("_a.v"), F.col("_b.v"), F.col("t"))
     v = F.when(F.col("_a.t") == F.col("t"), hit).when(F.col("_a").isNull() | F.col("_b").isNull(), exprs.nan()).otherwise(line)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs
+from kilojoin.operators.flow import small
 from kilojoin.operators.record import checked
 
 def _w():
@@ -159,7 +160,7 @@ def concatenated(own: DataFrame) -> DataFrame:
 def consistent_edges(cut: DataFrame, edges: DataFrame) -> DataFrame:
     """record_id, section, n_from, n_to, ok: both ends of the edge keep one sign, the same one, throughout the section; edges: n_from, n_to, sig_out, sig_in."""
     ends = edges.select("n_from", "n_to", F.explode(F.array("sig_out", "sig_in")).alias("sig_id"))
-    own = cut.join(F.broadcast(ends), "sig_id")  # a topology's edges
+    own = cut.join(small(ends), "sig_id")
     low, high = F.min(F.least("v", "w")), F.max(F.greatest("v", "w"))
     return own.groupBy("record_id", "section", "n_from", "n_to").agg(((low >= 0) | (high <= 0)).alias("ok"))
 
@@ -181,13 +182,14 @@ def chop(signals: DataFrame, cuts: DataFrame, interpolate: bool = False) -> Data
     marks = cuts.select("record_id", "t").distinct().join(keys, "record_id").select("record_id", "sig_id", "t", F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     rows = signals.select("record_id", "sig_id", "t", "v", F.lit(1).alias("kind")).unionByName(marks)
     w = Window.partitionBy("record_id", "sig_id").orderBy("t", "kind")
-    upto, after, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("record_id", "sig_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     sample = lambda c: F.when(F.col("kind") == 1, F.col(c))
     rows = rows.withColumn("piece", F.sum((F.col("kind") == 0).cast("long")).over(upto))
     if not interpolate:
         return rows.where("kind = 1").select("record_id", "sig_id", "piece", "t", "v")
     t0, v0 = F.last(sample("t"), True).over(before), F.last(sample("v"), True).over(before)
-    t1, v1 = F.first(sample("t"), True).over(after), F.first(sample("v"), True).over(after)
+    t1, v1 = F.last(sample("t"), True).over(after), F.last(sample("v"), True).over(after)
     rows = rows.withColumns({"t0": t0, "v0": v0, "t1": t1, "v1": v1})
     line = F.when(F.col("t1") == F.col("t"), F.col("v1")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / F.when(F.col("t1") != F.col("t0"), F.col("t1") - F.col("t0")))
     # a cut beyond the samples has no value; one on a sample only closes the piece before, as the sample opens the next

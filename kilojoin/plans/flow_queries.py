@@ -125,7 +125,8 @@ TRIPOD_GIVEN = {
 }
 
 
-@query("""SELECT variable, round(a::DOUBLE / b, 6) + 0.0 AS value FROM (VALUES
+#: The golden results of the worked sequence (fixed values).
+@query("""SELECT s_suppkey, variable, round(a::DOUBLE / b * CASE WHEN split_part(variable, '_', 1) IN ('dt', 'x', 'eta', 'stx') THEN 1 ELSE s_suppkey % 7 + 1 END, 6) + 0.0 AS value FROM supplier, (VALUES
 ('dt_0', 1, 1), ('dt_1', 2, 1), ('dt_2', 1, 1), ('content_2_3', 10, 1), ('x_0_2_3', 8, 25), ('p_0_2_3', 4, 1), ('p_1_3_2', 5, 1), ('p_2_3_2', 6, 1), ('eta_0_3_2', 1, 4),
 ('eta_0_2_1', 1, 2), ('eta_0_0_2', 3, 4), ('eta_1_0_2', 2, 5), ('eta_1_2_3', 3, 5), ('eta_2_0_2', 7, 10), ('eta_2_3_2', 9, 10), ('eta_2_2_1', 1, 1), ('x_1_2_3', 2, 5),
 ('x_2_2_0', 3, 10), ('insum_1_1', 20, 1), ('e_0_2_3', 4, 1), ('p_0_3_2', 16, 1), ('x_0_2_0', 17, 25), ('insum_0_2', 25, 2), ('x_0_1_2', 1, 1), ('x_0_0_2', 1, 1),
@@ -144,13 +145,14 @@ TRIPOD_GIVEN = {
 5, 8), ('local_exit_3', 10, 1)
 ) AS x(variable, a, b)""")
 def solve_sequence(spark, d):
-    """Every variable of the worked sequence, as one row of columns, solved on executors; the SQL has the exact fractions."""
+    """Every variable of the worked sequence for every supplier, whose number scales all powers; the SQL has the exact fractions."""
     from fractions import Fraction
 
     rules = solver.sequence_rules(TRIPOD, [3])
-    row = spark.range(1).select(*[F.lit(float(Fraction(v))).alias(k) for k, v in TRIPOD_GIVEN.items()])
-    rows = solver.tidy(solver.solve(row, rules).withColumn("one_row", F.lit(1)), rules, ["one_row"])
-    return rows.select("variable", r("value", 6))
+    scale = (F.col("s_suppkey") % 7 + 1).cast("double")
+    given = {k: F.lit(float(Fraction(v))) * (scale if k.split("_")[0] in ("p", "insum", "content") else F.lit(1.0)) for k, v in TRIPOD_GIVEN.items()}
+    rows = solver.tidy(solver.solve(fx.table(spark, d, "supplier").select("s_suppkey", *[c.alias(k) for k, c in given.items()]), rules), rules, ["s_suppkey"])
+    return rows.select("s_suppkey", "variable", r("value", 6))
 
 
 HALVES = """, halves AS (SELECT o.*, o.section * 2 > max(o.section) OVER (PARTITION BY o.record_id) AS late FROM orient o),
@@ -190,17 +192,20 @@ GRID_NODES = {"s": "Source", "x": "Crossing", "k": "Sink", "m": "Storage"}
 GRID_EDGES = [("s", "x"), ("x", "k"), ("x", "m")]
 
 
-@query("""WITH d AS (SELECT unnest([0, 1, 2]) AS d), a AS (SELECT x.d AS d0, y.d AS d1, z.d AS d2 FROM d x, d y, d z),
-f AS (SELECT *, (d0 = 0)::INT + (d1 = 2)::INT + (d2 = 2)::INT AS ins, (d0 = 2)::INT + (d1 = 0)::INT + (d2 = 0)::INT AS outs FROM a WHERE d0 <> 2 AND d1 <> 2)
-SELECT (d0 + 3 * d1 + 9 * d2)::BIGINT AS state FROM f WHERE (ins > 0) = (outs > 0)""")
+@query("""WITH s AS (SELECT l_partkey % 27 AS state, l_partkey % 3 AS d0, l_partkey // 3 % 3 AS d1, l_partkey // 9 % 3 AS d2 FROM lineitem),
+f AS (SELECT *, (d0 = 0)::INT + (d1 = 2)::INT + (d2 = 2)::INT AS ins, (d0 = 2)::INT + (d1 = 0)::INT + (d2 = 0)::INT AS outs FROM s WHERE d0 <> 2 AND d1 <> 2)
+SELECT state, count(*) AS n FROM f WHERE (ins > 0) = (outs > 0) GROUP BY state""")
 def admissible_states(spark, d):
-    return topology.admissible_states(spark, GRID_NODES, GRID_EDGES).select(topology.state_index(F.col("dirs")).alias("state"))
+    """How many lines are in each admissible state of a topology, if their part numbers tell the state."""
+    states = topology.admissible_states(spark, GRID_NODES, GRID_EDGES).select(topology.state_index(F.col("dirs")).alias("state"))
+    own = fx.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 27).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return own.join(flow.small(states), "state").select("state", "n")
 
 
-@query("SELECT range AS state, range % 3 AS d0, range // 3 % 3 AS d1, range // 9 % 3 AS d2 FROM range(27)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 27 AS state, l_partkey % 3 AS d0, l_partkey // 3 % 3 AS d1, l_partkey // 9 % 3 AS d2 FROM lineitem")
 def absolute_state_index(spark, d):
-    rows = spark.range(27).select(topology.state_from_index(F.col("id"), 3).alias("dirs"))
-    return rows.select(topology.state_index(F.col("dirs")).alias("state"), *[F.get("dirs", F.lit(i)).cast("long").alias(f"d{i}") for i in range(3)])
+    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", topology.state_from_index(F.col("l_partkey") % 27, 3).alias("dirs"))
+    return rows.select("l_orderkey", "l_linenumber", topology.state_index(F.col("dirs")).alias("state"), *[F.get("dirs", F.lit(i)).cast("long").alias(f"d{i}") for i in range(3)])
 
 
 @query("""SELECT 'r' || n_regionkey AS node, 0::BIGINT AS ins, count(*) AS outs FROM nation GROUP BY ALL UNION ALL SELECT 'n' || n_nationkey, 1, 0 FROM nation""")

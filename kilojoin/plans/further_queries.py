@@ -55,15 +55,15 @@ def read_tables(spark, d):
     return readers.read_tables(spark, path).drop("file")
 
 
-@query(SIG + "SELECT t, v FROM sig WHERE record_id = (SELECT min(record_id) FROM wide) AND sig_id = 'p1'")
+@query(SIG + "SELECT t, v FROM sig WHERE sig_id = 'p1'")
 def read_plt(spark, d):
-    """The first record as a plot file (one file is one record)."""
+    """Every record as a plot file of its own, all read back."""
     w = fx.wide(spark, d)
-    one = w.join(w.agg(F.min("record_id").alias("record_id")), "record_id")
     block = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(c).alias("x")))), lambda s: F.concat(s["idx"].cast("string"), F.lit(", "), s["x"].cast("string"))), "\n")
-    text = one.groupBy("record_id").agg(block("t").alias("t"), block("p1").alias("v"))
-    path = _written(spark, text.select(F.concat(F.lit("Title: events\n\nDataSet: time\n"), "t", F.lit("\n\nDataSet: p1\n"), "v").alias("value")))
-    return readers.read_plt(spark, path).select("t", "v")
+    text = w.groupBy("record_id").agg(block("t").alias("t"), block("p1").alias("v"))
+    path = f"{shared_dir(spark)}/plt-{uuid.uuid4().hex}"
+    text.select("record_id", F.concat(F.lit("Title: events\n\nDataSet: time\n"), "t", F.lit("\n\nDataSet: p1\n"), "v").alias("value")).write.partitionBy("record_id").text(path)
+    return readers.read_plt(spark, f"{path}/*/*.txt").select("t", "v")
 
 
 # lookups --------------------------------------------------------------------------------------------
@@ -123,12 +123,13 @@ f AS (SELECT *, (d0 = 0)::INT + (d1 = 2)::INT + (d2 = 2)::INT AS ins, (d0 = 2)::
 s AS (SELECT d0, d1, d2, d0 + 3 * d1 + 9 * d2 AS state FROM f WHERE (ins > 0) = (outs > 0)),
 m AS (SELECT t.state, k, bit_count(k) AS n FROM s t, range(8) r(k) WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.state <> t.state
   AND (k & 1 = 0 OR o.d0 = t.d0) AND (k & 2 = 0 OR o.d1 = t.d1) AND (k & 4 = 0 OR o.d2 = t.d2)))
-SELECT state::BIGINT AS state, list_aggregate(list_filter([0, 1, 2], lambda i: (k >> i) & 1 = 1), 'string_agg', ',') AS edges FROM m WHERE n = (SELECT min(n) FROM m o WHERE o.state = m.state)""")
+SELECT l_orderkey, l_linenumber, state::BIGINT AS state, list_aggregate(list_filter([0, 1, 2], lambda i: (k >> i) & 1 = 1), 'string_agg', ',') AS edges FROM m JOIN lineitem ON l_partkey % 27 = state WHERE n = (SELECT min(n) FROM m o WHERE o.state = m.state)""")
 def minimal_givens(spark, d):
-    """For each admissible state the fewest edges that tell it from all others."""
+    """For each line whose part number is an admissible state, the fewest edges that tell it from all others."""
     states = [list(row["dirs"]) for row in topology.admissible_states(spark, flow_queries.GRID_NODES, flow_queries.GRID_EDGES).collect()]  # a few states of a small graph
     rows = [(sum(x * 3**i for i, x in enumerate(s)), ",".join(map(str, own))) for s in states for own in topology.minimal_givens(states, s)]
-    return spark.createDataFrame(rows, "state long, edges string")
+    known = flow.small(spark.createDataFrame(rows, "state long, edges string"))
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 27).alias("state")).join(known, "state").select("l_orderkey", "l_linenumber", "state", "edges")
 
 
 @query(SIG + "SELECT record_id, idx, round(p1 * p2 / 3 + p1, 6) + 0.0 AS insum, round(p1 * p2 * p2 / 3, 6) + 0.0 AS energy FROM wide")
