@@ -6,7 +6,9 @@ Topologies are small tables and broadcast behind a check of their size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs
@@ -183,6 +185,19 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str], value: str
     return b.join(a, keys, "full").select(*keys, "before", (F.col("after") - F.col("before")).alias("delta"), "after")
 
 
+def checked_zip(a: DataFrame, b: DataFrame, keys: list[str], f: Callable[[Column, Column], Column], value: str = "value", name: str = "value") -> DataFrame:
+    """keys, name: f of both tables' values; a key that only one of them has is an error."""
+    both = a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_ia")).join(b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_ib")), keys, "full")
+    both = record.checked(both, F.col("_ia").isNull() | F.col("_ib").isNull(), "a key is in one table only")
+    return both.select(*keys, f(F.col("_a"), F.col("_b")).alias(name))
+
+
+def fold_nodes(flows: DataFrame, part: list[str], out: Callable[[], Column], into: Callable[[], Column], f: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """part, node, value: f over what each edge gives to its start (out) and to its end (into); nulls give nothing."""
+    ends = F.array(F.struct(F.col("n_from").alias("node"), out().cast("double").alias("v")), F.struct(F.col("n_to").alias("node"), into().cast("double").alias("v")))
+    return flows.select(*part, F.inline(ends)).groupBy(*part, "node").agg(f(F.col("v")).alias("value"))
+
+
 def cumulate_given_states(flows: DataFrame, numbers: DataFrame) -> DataFrame:
     """record_id, state, n_from, n_to, dt, e_out, e_in with prescribed numbers (state_key, state); sections of other states are dropped."""
     own = states(flows).select(*PART, "state_key").join(small(numbers.select("state_key", "state")), "state_key")

@@ -35,4 +35,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["section_energy"](spark, sf_dir)
 
 
-from kilojoin.plans import flow_queries, further_queries, mix_queries, optimise_queries, pattern_queries, segment_queries, sequence_queries, signal_queries  # noqa: E402, F401
+from kilojoin.plans import flow_queries, further_queries, mix_queries, optimise_queries, pattern_queries, segment_queries, sequence_queries, signal_queries, table_queries  # noqa: E402, F401

@@ -99,6 +99,18 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str, sep: str = ";")
     return spark.read.csv(path, schema=schema, sep=sep, header=True, mode="FAILFAST", quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
+def read_structured_csv(spark: SparkSession, path: str, fields: Sequence[tuple[str, int]], sep: str = ";") -> DataFrame:
+    """record_id, idx, and each field (name, number of cells) as an array of its cells, of a separated file with a header; a row of another length is an error."""
+    size = sum(n for _, n in fields)
+    rows = _with_header(_numbered(spark, path), sep)
+    cells = F.when(F.size("cells") == size, F.col("cells")).otherwise(F.raise_error(F.lit(f"a row has not {size} cells")).cast("array<string>"))
+    rows, at, out = rows.select("record_id", "idx", cells.alias("cells")), 1, []
+    for name, n in fields:
+        out.append(F.slice("cells", at, n).alias(name))
+        at += n
+    return rows.select("record_id", "idx", *out)
+
+
 def read_modelica_ascii(spark: SparkSession, path: str) -> DataFrame:
     """Blank-separated numbers without a header, time first; the last column is a dummy and goes; signals are sig_0, sig_1, ..."""
     numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda c: c.cast("double"))
