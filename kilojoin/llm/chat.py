@@ -2,7 +2,7 @@
 
 A conversation that is logged after every turn appears many times, each time a prefix of the next. Each turn has a
 digest of its place, role and text; the digest of a prefix is rolled forward turn by turn by joining the next turn's in (exclusive
-or of two 64-bit halves, in a window over the conversation), so two prefixes are equal exactly if their digests are. A
+or of two 64-bit halves, in a window over the conversation), so two prefixes are equal if and only if their digests are, up to collisions of 120 bits. A
 conversation stays if its whole digest is no proper prefix of another (anti-join against the distinct digests of proper
 prefixes), and of equal conversations the one with the smallest conv_id stays. Prefix digests are made distinct before the
 shuffle, so that a first turn in a third of all conversations is one row for each task.
