@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs
-from kilojoin.operators import cube, solver
+from kilojoin.operators import cube, solver, surface
 
 
 def points(spark: SparkSession, requirements: Mapping[str, Sequence[float]], freedoms: Mapping[str, Sequence[float]], states: Sequence[int] = (0,)) -> DataFrame:
@@ -164,11 +164,12 @@ def interpolate_optimum(best: DataFrame, demand: DataFrame, values: Sequence[str
     """demand (record_id, idx, dx, dy, further columns) with each of ``values`` for every state, bilinear between the optima (state, x, y, values) of a grid.
 
     Each point of the grid knows its neighbours; a demand finds its cell by merging its coordinates with the grid's axes, which are
-    small, and joins the cell by number. Demands beyond the grid, or in a cell whose corners lack an optimum, have none (null).
+    small, and joins the cell by number; a grid with an axis of more than AXIS points is looked up as a table (surface.lookup), states being one more
+    axis. Demands beyond the grid, or in a cell whose corners lack an optimum, have none (null).
     """
     axes = {c: sorted(r[0] for r in best.select(c).distinct().limit(AXIS + 1).collect()) for c in (x, y)}
     if any(len(a) > AXIS for a in axes.values()):
-        raise ValueError("an axis of the grid has more than %d points" % AXIS)
+        return _interpolate_table(best, demand, values, x, y)
     cell = lambda a, v: F.size(F.filter(F.array(*map(F.lit, a)), lambda p: p < v))  # noqa: E731  number of the right end
     place = {c: F.array_position(F.array(*map(F.lit, a)), F.col(c)) - 1 for c, a in axes.items()}
     grid = best.select("state", place[x].alias("i"), place[y].alias("j"), F.col(x).alias("gx"), F.col(y).alias("gy"), *values)
@@ -186,10 +187,19 @@ def interpolate_optimum(best: DataFrame, demand: DataFrame, values: Sequence[str
     return met.select(*demand.columns, "state", *[between(c).alias(c) for c in values])
 
 
-#: Points of an axis of the grid of optima at most.
+#: Points of an axis of the grid of optima that are literals of the plan at most.
 AXIS = 4096
 
 
+def _interpolate_table(best: DataFrame, demand: DataFrame, values: Sequence[str], x: str, y: str) -> DataFrame:
+    """interpolate_optimum() for grids of any size: every state of the grid is asked at every demand."""
+    states = [r[0] for r in best.select("state").distinct().orderBy("state").collect()]  # the states of one system
+    asked = demand.select("*", F.col("dx").alias(x), F.col("dy").alias(y), F.explode(F.array(*map(F.lit, states))).alias("state"))
+    for v in values:
+        asked = surface.lookup(best, asked, ["state", x, y], v, name=v)
+    return asked.select(*demand.columns, "state", *values)
+
+
 def signal_based_solution(states: DataFrame, obj: str = "obj") -> DataFrame:
     """record_id, idx, and the row of the best state at each time, of interpolated optima (record_id, idx, state, obj, ...); ties go to the smaller state."""
     rows = states.where(F.col(obj).isNotNull() & ~F.isnan(obj))

@@ -307,11 +307,12 @@ def _value(r: Rule, var: str) -> Column:
     return exprs.div(c(r.out), c(y if var == x else x))
 
 
-def solve(df: DataFrame, rules: list[Rule], rounds: int = 1) -> DataFrame:
+def solve(df: DataFrame, rules: list[Rule], rounds: int | None = 1) -> DataFrame:
     """df with a column for every variable that follows from its own columns.
 
     Unknowns are null. A variable may be known in some rows only: known columns are coalesced with what their rules give. rounds: how often
-    the rules of all variables are applied again, for zeros and partial rows that open further ways.
+    the rules of all variables are applied again, for zeros and partial rows that open further ways; None goes on until no row learns anything new, each
+    round being a table in the shared folder.
     """
     wanted = variables(rules)
     known = [v for v in wanted if v in df.columns]
@@ -319,14 +320,33 @@ def solve(df: DataFrame, rules: list[Rule], rounds: int = 1) -> DataFrame:
         df = df.withColumns({v: _value(r, v) for v, r in layer})
     lacking = [v for v in wanted if v not in df.columns]
     df = df.withColumns({v: F.lit(None).cast("double") for v in lacking})
+    if rounds is None:
+        return _until_known(df, rules, wanted)
     for _ in range(rounds if lacking or rounds > 1 else 0):
-        new: dict[str, list[Column]] = {}
-        for r in rules:
-            if r.kind != "apply":
-                for v in dict.fromkeys((r.out, *r.args)):
-                    if v != "one":
-                        new.setdefault(v, []).append(_value(r, v))
-        df = df.withColumns({v: F.coalesce(F.col(v), *cs) for v, cs in new.items()})
+        df = _again(df, rules)
+    return df
+
+
+def _again(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Unknowns coalesced with what any of their rules gives."""
+    new: dict[str, list[Column]] = {}
+    for r in rules:
+        if r.kind != "apply":
+            for v in dict.fromkeys((r.out, *r.args)):
+                if v != "one":
+                    new.setdefault(v, []).append(_value(r, v))
+    return df.withColumns({v: F.coalesce(F.col(v), *cs) for v, cs in new.items()})
+
+
+def _until_known(df: DataFrame, rules: list[Rule], wanted: list[str]) -> DataFrame:
+    from kilojoin.plans.storage import cut
+
+    count = lambda t: t.agg(F.sum(sum((F.col(v).isNotNull().cast("long") for v in wanted), F.lit(0).cast("long")))).first()[0] or 0
+    df = cut(df)
+    before, after = -1, count(df)
+    while after != before:
+        df = cut(_again(df, rules))
+        before, after = after, count(df)
     return df
 
 

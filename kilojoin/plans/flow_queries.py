@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kilojoin.operators import delta, flow, segment, solver, symbolic, topology
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans.fixtures import FLOW, SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 from kilojoin.plans.segment_queries import cut
 
 

@@ -10,7 +10,7 @@ from kilojoin.operators import delta, flow, lookup, optimise, segment, signal, s
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans import flow_queries, segment_queries
 from kilojoin.plans.fixtures import FLOW, SEG, SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 from kilojoin.plans.storage import shared_dir
 from kilojoin.sources import readers
 

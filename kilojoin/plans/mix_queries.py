@@ -8,7 +8,7 @@ from kilojoin.operators import balance, mix, rational, segment, solver
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans import segment_queries
 from kilojoin.plans.fixtures import SEG, SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 
 # symbolic results with quotients by sums ------------------------------------------------------------
 

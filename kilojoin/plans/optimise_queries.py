@@ -8,7 +8,7 @@ from kilojoin.functions import exprs
 from kilojoin.operators import cube, optimise, solver
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans.fixtures import SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 
 def classes(df, column):
     """The distinct values of a column that has few (classes of a table's values), in order; they become an axis."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kilojoin.operators import crossing, holes, sparse_stack, surface
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans.fixtures import SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 
 # crossings ------------------------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from kilojoin.operators import mixed, sequence, solver, track
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans import flow_queries, segment_queries
 from kilojoin.plans.fixtures import FLOW, SEG, SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 
 #: The record number of the worked example among the records of the events.
 EXAMPLE = -1

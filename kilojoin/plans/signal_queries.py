@@ -9,7 +9,7 @@ from kilojoin.functions import exprs, types
 from kilojoin.operators import distribution, lookup, record, signal
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans.fixtures import SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 
 ALL = "SELECT record_id, idx, t, sig_id, {v} AS v FROM sig"
 

@@ -11,7 +11,7 @@ from kilojoin.operators import delta, flow, lookup, optimise, signal, topology
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans import flow_queries
 from kilojoin.plans.fixtures import FLOW, SIG
-from kilojoin.plans.registry import query, r
+from kilojoin.plans.register import query, r
 from kilojoin.plans.storage import shared_dir
 from kilojoin.sources import readers
 from kilojoin.streaming import energy

@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from kilojoin.operators import balance, crossing, delta, holes, mix, mixed, rational, sequence, skew, solver, sparse_stack, surface, track
+from kilojoin.operators import balance, crossing, delta, holes, mix, mixed, optimise, rational, record, segment, sequence, skew, solver, sparse_stack, surface, track
 from kilojoin.operators.symbolic import Term
 from kilojoin.plans.flow_queries import TRIPOD, TRIPOD_GIVEN
 
@@ -316,3 +316,34 @@ def test_holes_take_the_nearest_valid_value(spark):
         assert got[s, i, j] == ((want[3], want[1], want[2], want[0]) if want else (None, None, None, None))
     grid = holes.full_grid(spark.createDataFrame([("a", 0, 0, 1.0), ("a", 2, 1, 2.0)], "s string, i long, j long, v double"), ["s"])
     assert grid.count() == 6 and grid.where("v is null").count() == 4
+
+
+# long records, long chains, large grids -------------------------------------------------------------
+
+
+def test_windows_of_a_long_record_take_time_in_proportion(spark):
+    """A record of 200,000 samples: frames over what follows must not be worked out anew for each row."""
+    n = 200_000
+    signals = spark.range(n).select(F.lit("r").alias("record_id"), F.col("id").alias("idx"), F.col("id").cast("double").alias("t"), F.lit("x").alias("sig_id"), (F.col("id") * 2.0).alias("v"))
+    times = spark.range(n - 1).select(F.lit("r").alias("record_id"), F.col("id").alias("idx"), (F.col("id") + 0.5).alias("t"))
+    got = record.resample(signals, times).agg(F.count(F.lit(1)), F.max(F.abs(F.col("v") - F.col("t") * 2))).first()
+    assert tuple(got) == (n - 1, 0.0)
+    cuts = spark.range(0, n - 1, 100).select(F.lit("r").alias("record_id"), (F.col("id") + 0.25).alias("t"))
+    pieces = segment.chop(signals, cuts, interpolate=True)
+    assert pieces.agg(F.count(F.lit(1)), F.countDistinct("piece"), F.max(F.abs(F.col("v") - F.col("t") * 2))).first()[:] == (n + 2 * (n // 100), n // 100 + 1, 0.0)
+
+
+def test_a_chain_of_partial_rows_is_solved_to_its_end(spark):
+    rules = [solver.equal(f"v{i}", f"v{i + 1}") for i in range(12)]
+    df = spark.createDataFrame([(1, 5.0, None), (2, None, 7.0), (3, None, None)], "k long, v0 double, v12 double")
+    got = {r["k"]: r for r in solver.solve(df, rules, rounds=None).collect()}
+    assert all(got[1][f"v{i}"] == 5.0 and got[2][f"v{i}"] == 7.0 and got[3][f"v{i}"] is None for i in range(13))
+
+
+def test_optima_of_a_large_grid(spark, monkeypatch):
+    best = spark.createDataFrame([(s, float(i), float(j), 10.0 * s + i + 2 * j) for s in (0, 1) for i in range(4) for j in range(3) if (s, i, j) != (1, 3, 2)], "state int, req_x double, req_y double, p double")
+    demand = spark.createDataFrame([("r", i, x, y) for i, (x, y) in enumerate([(0.5, 0.5), (2.5, 1.5), (3.0, 1.0), (9.0, 1.0), (1.0, 2.0)])], "record_id string, idx long, dx double, dy double")
+    want = sorted(map(tuple, optimise.interpolate_optimum(best, demand, ["p"]).where("p is not null").collect()))
+    monkeypatch.setattr(optimise, "AXIS", 2)
+    got = sorted(map(tuple, optimise.interpolate_optimum(best, demand, ["p"]).where("p is not null").collect()))
+    assert set(want) <= set(got) and all(abs(p - (10 * s + x + 2 * y)) < 1e-9 for _, _, x, y, s, p in got)
