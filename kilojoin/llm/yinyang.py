@@ -49,8 +49,10 @@ def seeds(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
 
 def _matrix(rows: list) -> np.ndarray:
     """Integers, in 64 bits where squared distances fit."""
-    wide = np.array([[int(v) for v in r] for r in rows], object)
-    return wide.astype(np.int64) if not wide.size or max(abs(wide.min()), abs(wide.max())) <= SAFE else wide
+    x = np.array([np.asarray(r) for r in rows])
+    if x.dtype.kind == "i" and (not x.size or max(-int(x.min()), int(x.max())) <= SAFE):
+        return x.astype(np.int64)
+    return np.array([[int(v) for v in r] for r in rows], object)
 
 
 def grouped(centroids: np.ndarray, rounds: int = 5) -> np.ndarray:
