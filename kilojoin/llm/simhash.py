@@ -48,7 +48,7 @@ RUN, FINER = 2048, 2
 #: Codes that hold more than one row in so many are joined by a broadcast; there can't be as many of them.
 HOT = 1000
 #: (searcher, node) pairs looked at together.
-FRONT = 1 << 20
+FRONT = 1 << 18
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
