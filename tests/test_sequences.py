@@ -215,7 +215,7 @@ def test_two_storages_in_turn(spark):
         x, y, z = pull[s]
         return trials.withColumn("balance", x * F.col("drive_a") + y * F.col("drive_b") + z * F.col("record_id"))
 
-    got = balance.all_storages(records, evaluate, ["a", "b"], turns=8, step=0.125, rungs=6, parts=16, rounds=4, most=1e-2).collect()
+    got = balance.all_storages(records, evaluate, ["a", "b"], turns=4, step=0.125, rungs=6, parts=16, rounds=3, most=1e-2).collect()
     for r in got:
         assert abs(r["drive_a"] + 0.25 * r["drive_b"] - r["record_id"]) < 1e-2 and abs(0.25 * r["drive_a"] + r["drive_b"] + 0.5 * r["record_id"]) < 1e-2
         assert r["converged_a"] and r["converged_b"]
