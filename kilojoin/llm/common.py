@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A table may be broadcast if it has at most this many rows, and its texts so many characters; beyond, it is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8_000_000
+#: A key is hot if more than one row in HOT has it (there can't be as many such keys), and more than WARM rows.
+HOT, WARM = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,23 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
+def is_hot(total: int) -> Column:
+    """Whether a key is hot; n says how many of all ``total`` rows have it."""
+    return F.col("n") > max(WARM, total / HOT)
+
+
+def owner_join(rows: DataFrame, owners: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with owners, which has one row for each key, and in n the number of rows (of ``total``) that have it.
+
+    Owners of hot keys (less than HOT) go to the rows by a broadcast, all others by a shuffle, so that no task gets a hot key's rows.
+    """
+    if total <= WARM:
+        return rows.join(owners, key)
+    hot = owners.where(is_hot(total))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(owners.where(~is_hot(total)), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     """Consecutive texts in lists of about so many characters, one text at least."""
     out: list[str] = []

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import discard, materialise, maybe_broadcast
+from kilojoin.llm.common import HOT, discard, materialise, maybe_broadcast, owner_join
 
 BITS = 64
 #: Members of a leaf node, and nodes of an upper node.
@@ -45,8 +45,6 @@ FAN = 16
 BUCKET = 4096
 #: Fingerprints of one bucket that go to one task; larger buckets are split FINER times, and cut into runs of half as many if they stay large.
 RUN, FINER = 2048, 2
-#: Codes that hold more than one row in so many are joined by a broadcast; there can't be as many of them.
-HOT = 1000
 #: (searcher, node) pairs looked at together.
 FRONT = 1 << 18
 
@@ -305,17 +303,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) of every node of an edge table, by large-star and small-star rounds.
 
     Every round is two joins of the edges with one row for each node, and its result is a table in the shared
-    folder; the driver only reads counts.
+    folder; the driver only reads counts. The root of a large component has most of its edges: such nodes go to their edges by a
+    broadcast (owner_join).
     """
     edges = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = owner_join(both.where("b > a"), least, "a", 2 * edges.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = owner_join(down, least, "a", large.count()).select("b", "m").union(least.select("a", "m")).toDF("a", "b")
         small = materialise(small.where("a <> b").distinct(), "small")
         moved = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
         discard(edges, large)
@@ -335,9 +334,9 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42)
     member = components(found, "code", "root")
     # the component of a code is its smallest code; the contract asks for the smallest doc_id below it
     linked = member.select(F.col("node").alias("code"), F.col("component").alias("root")).union(member.select("component", "component").distinct())
-    linked = linked.join(codes, "code")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("code", "component_id")
+    linked = materialise(linked.join(codes, "code").select("code", "root", "least"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = owner_join(linked, least, "root", linked.count()).select("code", "component_id")
     own = codes.join(linked, "code", "left").select("code", "many", F.coalesce("component_id", "least").alias("component_id"))
     # codes with a HOTth of all rows or more are HOT at most, so these go to the rows by a broadcast and the rest by a shuffle
     own, share = materialise(own, "owners"), F.lit(prints.count() / HOT)

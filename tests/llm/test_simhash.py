@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kilojoin.llm import simhash
 
@@ -134,6 +135,29 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
+def test_components_around_hot_roots(spark):
+    """A star of 100,000 nodes, a chain that ends in it, a chain of its own and a second star around its largest node."""
+    star = [(0, i) for i in range(1, 100_001)]
+    chain = [(i, i + 1) for i in range(200_000, 200_300)] + [(200_300, 77)]
+    alone = [(i + 1, i) for i in range(300_000, 300_050)]
+    high = [(i, 500_000) for i in range(400_000, 405_000)]
+    df = spark.createDataFrame(star + chain + alone + high, "a long, b long")
+    got = {(r["component"], r["n"]) for r in simhash.components(df).groupBy("component").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(0, 100_301), (300_000, 50), (400_000, 5_000)}
+
+
+def test_owner_join_keeps_hot_rows_off_single_tasks(spark):
+    """Rows of a hot key stay where they are; results are those of a plain join."""
+    from kilojoin.llm.common import owner_join
+
+    rows = spark.range(40_000).selectExpr("if(id % 3 = 0, -1, id % 5000) AS k", "id")
+    owners = rows.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = owner_join(rows, owners, "k", 40_000)
+    plain = rows.join(owners, "k")
+    assert got.count() == 40_000 and got.exceptAll(plain).count() == 0
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hex(spark):
     df = spark.createDataFrame([(0,), (-1,), (255,)], "code long")
     assert [r[0] for r in df.select(simhash.hex_column(df["code"])).collect()] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
