@@ -43,11 +43,15 @@ def add(*terms: DataFrame) -> DataFrame:
     return out.groupBy(*keys).agg(F.sum("value").alias("value"), F.sum("whole").alias("whole"))
 
 
-def ranked(terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, nth, changed (joined by a comma), value: the largest terms first, ties by name; the rest of the whole comes last with a null name."""
+def ranked(terms: DataFrame, keys: Sequence[str], digits: int | None = None) -> DataFrame:
+    """keys, nth, changed (joined by a comma), value: the largest terms first, ties by name; the rest of the whole comes last with a null name.
+
+    digits: decimals in which terms are compared; those that are equal there are a tie. Values stay as they are.
+    """
     keys = list(keys)
+    size = F.abs("value" if digits is None else F.round("value", digits))
     own = terms.withColumn("changed", F.coalesce(F.nullif(F.array_join("changed", ","), F.lit("")), F.lit("before")))
     rest = own.groupBy(*keys).agg(F.first("whole").alias("whole"), F.sum("value").alias("kept"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("value")), "changed")
+    w = Window.partitionBy(*keys).orderBy(size.desc(), "changed")
     first = own.select(*keys, F.row_number().over(w).cast("long").alias("nth"), "changed", "value")
     return first.unionByName(rest.select(*keys, (F.col("n") + 1).alias("nth"), F.lit(None).cast("string").alias("changed"), (F.col("whole") - F.col("kept")).alias("value")))

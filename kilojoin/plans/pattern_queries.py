@@ -98,7 +98,7 @@ def sparse_attribution(spark, d):
     own = fx.table(spark, d, "events").select(F.col("user_id").alias("record_id"), name.alias("x"), "value").groupBy("record_id", "x").agg(((F.sum(F.round(F.col("value") * 100).cast("long")) - 5000 * F.count(F.lit(1))) / (199999.0 * F.count(F.lit(1)))).alias("d"))
     rows = own.groupBy("record_id").pivot("x", [f"x{i}" for i in range(N)]).agg(F.first("d"))
     terms = sparse_stack.product(rows, ["record_id"], [(f"x{i}", F.lit(1.0), F.col(f"x{i}")) for i in range(N)], LEAST)
-    return sparse_stack.ranked(terms, ["record_id"]).select("record_id", "nth", "changed", r("value", 9))
+    return sparse_stack.ranked(terms, ["record_id"], digits=9).select("record_id", "nth", "changed", r("value", 9))
 
 
 # matrices with holes --------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kilojoin.operators import delta, flow, optimise, segment, signal, solver, topology
+from kilojoin.operators import delta, flow, optimise, segment, signal, solver, sparse_stack, topology
 from kilojoin.operators.symbolic import Term
 from kilojoin.plans.flow_queries import TRIPOD, TRIPOD_GIVEN
 
@@ -78,3 +78,9 @@ def test_efficiencies_settle(spark):
     assert 4 < rounds < 12 and all(abs(r["eta"] - 2) < 0.2 for r in got.collect())
     start = optimise.initial_givens(solver.section_rules([("a", "b")], 0), {"dt_0": 3.0})
     assert start == {"dt_0": 3.0, "eta_0_a_b": 0.5, "x_0_a_b": 0.2, "x_0_b_a": 0.2}
+
+
+def test_terms_that_round_alike_are_ranked_by_name(spark):
+    terms = spark.createDataFrame([(1, ["x2"], -0.25 - 1e-12, 1.0), (1, ["x10"], 0.25, 1.0), (1, ["x3"], 0.5, 1.0)], "k int, changed array<string>, value double, whole double")
+    names = lambda **how: [r["changed"] for r in sparse_stack.ranked(terms, ["k"], **how).orderBy("nth").collect()]
+    assert names(digits=9) == ["x3", "x10", "x2", None] and names() == ["x3", "x2", "x10", None]
