@@ -93,7 +93,18 @@ class Stack:
         return Stack(multi_to_stack(F.zip_with(stack_to_multi(a, n), stack_to_multi(b, n), f), n), names)
 
     def __mul__(self, other: Stack) -> Stack:
-        return self._by_corner(other, lambda x, y: x * y)
+        """Terms of stacks without a common index are single products, exact to the last rounding; corners would cancel."""
+        if {*self.indices} & {*other.indices}:
+            return self._by_corner(other, lambda x, y: x * y)
+        names = sorted([*self.indices, *other.indices])
+
+        def place(k: int, own: list[str]) -> int:
+            return sum(1 << j for j, name in enumerate(own) if k >> names.index(name) & 1)
+
+        def terms(a: Column, b: Column) -> Column:
+            return F.array(*[F.get(a, place(k, self.indices)) * F.get(b, place(k, other.indices)) for k in range(1 << len(names))])
+
+        return Stack(exprs.let(self.values, lambda a: exprs.let(other.values, lambda b: terms(a, b))), names)
 
     def __truediv__(self, other: Stack) -> Stack:
         return self._by_corner(other, lambda x, y: x / y)

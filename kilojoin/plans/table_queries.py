@@ -173,7 +173,6 @@ def term_threshold(spark, d):
     w = signal.over(["record_id"])
     rows = fx.wide(spark, d).withColumns({"d1": F.lead("p1").over(w) - F.col("p1"), "d2": F.lead("p2").over(w) - F.col("p2")}).where("d1 is not null")
     s = delta.Stack.pair("a", F.col("p1"), F.col("d1")) * delta.Stack.pair("b", F.col("p2"), F.col("d2"))
-    # corners as differences of products lose a few last digits; terms at the threshold aren't expected
     return rows.select("record_id", "idx", F.size(delta.threshold(s.terms(), 100.0)).alias("n"))
 
 

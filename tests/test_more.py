@@ -121,3 +121,13 @@ def test_stream_energy_equals_batch(spark, tmp_path):
     assert [(r["dt"], r["e"]) for r in spark.table("energy_test").where("record_id = 'b'").collect()][0] == (pytest.approx(1), pytest.approx(1))
     df = spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts"))
     assert energy.windowed(df, "10 seconds", "1 minute").agg(F.sum("n")).first()[0] == 20
+
+
+def test_terms_of_products_are_single_products(spark):
+    """A term at the threshold counts: corners that cancel would put it a last digit below."""
+    before, change, other = 14.230000000000004, -45.64, -2.115000000000002
+    s = delta.Stack.pair("b", F.lit(before), F.lit(change)) * delta.Stack.pair("a", F.lit(other), F.lit(2.0)) * delta.Stack.pair("c", F.lit(1.0), F.lit(0.5))
+    got, large = spark.range(1).select(s.terms(), delta.threshold(s.terms(), change * other)).first()
+    want = {"before": before * other, "b": change * other, "a": before * 2.0, "a,b": change * 2.0}
+    assert got == want | {(f"{k},c" if k != "before" else "c"): v * 0.5 for k, v in want.items()}
+    assert set(large) == {"b"}
