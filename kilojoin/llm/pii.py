@@ -292,14 +292,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("h"), F.length("text").alias("l"), "text")
 
 
-def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def _literals(terms: DataFrame) -> tuple[list[str], list[str]] | None:
+    """Words and shapes among the terms, if they are few enough for literals of the plan."""
+    few = [r[0] for r in terms.select("feature").limit(FEW + 1).collect()]
+    return ([f for f in few if f[0] != "#"], [f for f in few if f[0] == "#"]) if len(few) <= FEW else None
+
+
+def _is_term(word: Column, plain: list[str], shapes: list[str]) -> Column:
+    """Whether a word in lower case is a term by itself or by its shape."""
+    out = word.isin(plain) if plain else F.lit(False)
+    return out | (has_digits(word) & shape(word).isin(shapes)) if shapes else out
+
+
+def _holding(rows: DataFrame, terms: DataFrame, literals: tuple[list[str], list[str]] | None) -> DataFrame:
     """The rows (h, l, text) whose text holds a term or a key."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
-    few = [r[0] for r in terms.select("feature").limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        plain, shapes = [f for f in few if f[0] != "#"], [f for f in few if f[0] == "#"]
-        a_word = F.exists(words, lambda w: w.isin(plain)) if plain else F.lit(False)
-        a_shape = has_digits(F.col("text")) & F.exists(words, lambda w: has_digits(w) & shape(w).isin(shapes)) if shapes else F.lit(False)
+    if literals:
+        plain, shapes = literals
+        a_word = F.exists(words, lambda w: _is_term(w, plain, [])) if plain else F.lit(False)
+        a_shape = has_digits(F.col("text")) & F.exists(words, lambda w: _is_term(w, [], shapes)) if shapes else F.lit(False)
         return rows.where(a_word | a_shape | F.col("text").rlike(KEY_PATTERN))
     own = let(words, lambda w: features(w, has_digits(F.col("text"))))
     keys = rows.select("h", "l", F.explode(own).alias("feature")).join(terms, "feature", "left_semi").select("h", "l")
@@ -308,13 +319,19 @@ def _holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def everywhere(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """h, l, terms (array of i, start, end, share) of the texts with terms: every occurrence in no base span; i counts the words outside of base spans."""
-    terms = maybe_broadcast(terms)
-    own = _holding(_keyed(docs), terms)
+    """h, l, terms (array of i, start, end, share) of the texts with terms: every occurrence in no base span; i counts the words outside of base spans.
+
+    Where the terms are literals of the plan, only the words that are terms or keys become rows.
+    """
+    literals, terms = _literals(terms), maybe_broadcast(terms)
+    own = _holding(_keyed(docs), terms, literals)
     blank = masked(F.col("text"), lambda kind, v: F.repeat(F.lit(MARK), F.length(v)))
-    rows = own.select("h", "l", F.posexplode(located(blank, _WORD)).alias("i", "s"))
+    words = F.transform(located(blank, _WORD), lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    if literals:
+        words = F.filter(words, lambda s: _is_term(F.lower(s["value"]), *literals) | s["value"].rlike(KEY_PATTERN))
+    rows = own.select("h", "l", F.explode(words).alias("s"))
     two = F.array_compact(F.array(F.lower("s.value"), F.when(has_digits(F.col("s.value")), shape(F.col("s.value")))))
-    rows = rows.select("h", "l", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").rlike(KEY_PATTERN).alias("key"), F.explode(two).alias("feature"))
+    rows = rows.select("h", "l", "s.i", "s.start", "s.end", F.col("s.value").rlike(KEY_PATTERN).alias("key"), F.explode(two).alias("feature"))
     rows = rows.join(terms, "feature", "left").withColumn("share", F.when(F.col("key"), 1.0).otherwise(F.col("share"))).where("share is not null")
     rows = rows.groupBy("h", "l", "i", "start", "end").agg(F.max("share").alias("share"))
     return rows.groupBy("h", "l").agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", "share"))).alias("terms"))

@@ -230,3 +230,14 @@ def test_empty_table(spark):
 def test_luhn(spark, digits, want):
     df = spark.createDataFrame([(digits,)], "d string")
     assert df.select(pii.luhn(df["d"])).first()[0] is want
+
+
+def test_only_terms_and_keys_become_rows(spark):
+    """A text with one term makes one row, however long it is."""
+    text = "open sesame " + "word " * 500 + "a1b2c3d4e5f6a7b8c9"
+    terms = spark.createDataFrame([("sesame", 0.9), ("#a7-4", 0.8)], "feature string, share double")
+    out = pii.everywhere(spark.createDataFrame([(text,), ("nothing here",), ("CD77 Sesame",)], "text string"), terms)
+    generated = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode(" in x]
+    assert any("sesame" in x for x in generated)
+    got = sorted([(s["i"], s["start"], s["share"]) for s in r["terms"]] for r in out.collect())
+    assert got == [[(0, 0, 0.8), (1, 5, 0.9)], [(1, 5, 0.9), (502, 2512, 1.0)]]
