@@ -92,18 +92,23 @@ WAYS = SIG + """, w AS (SELECT record_id, idx, unnest([0.9 - abs(p1) / 400, 0.6
 
 
 def ways(spark, d):
+    """record_id, idx, ways (array of eta, store)."""
     a, b = F.abs("p1"), F.abs("p2")
     way = lambda eta, store: F.struct(eta.alias("eta"), store.alias("store"))
-    return fx.wide(spark, d).select("record_id", "idx", F.inline(F.array(way(0.9 - a / 400, -a / 20 - 1), way(0.6 + b / 400, F.lit(2.0)), way(F.lit(0.7), F.lit(0.0)))))
+    return fx.wide(spark, d).select("record_id", "idx", F.array(way(0.9 - a / 400, -a / 20 - 1), way(0.6 + b / 400, F.lit(2.0)), way(F.lit(0.7), F.lit(0.0))).alias("ways"))
 
 
 def balances(own):
-    """For trials (record_id, drive) the sum of what the best ways put into the storage, if the storage's content is worth the drive."""
+    """For trials (record_id, drive) the sum of what the best ways put into the storage, if the storage's content is worth the drive.
+
+    A record's trials meet its samples as one array, and a sample's best way is found within its row, so that only samples and sums are shuffled.
+    """
 
     def evaluate(trials):
-        met = own.join(trials, "record_id")
-        best = met.groupBy("record_id", "drive", "idx").agg(F.max_by("store", F.struct(F.col("eta") + F.col("drive") * F.col("store"), F.col("store"))).alias("store"))
-        return best.groupBy("record_id", "drive").agg(F.round(F.sum("store"), 6).alias("balance"))
+        met = own.join(trials.groupBy("record_id").agg(F.collect_set("drive").alias("drives")), "record_id")
+        met = met.select("record_id", "ways", F.explode("drives").alias("drive"))
+        best = F.array_max(F.transform("ways", lambda w: F.struct((w["eta"] + F.col("drive") * w["store"]).alias("value"), w["store"].alias("store"))))
+        return met.groupBy("record_id", "drive").agg(F.round(F.sum(best["store"]), 6).alias("balance"))
 
     return evaluate
 

@@ -84,3 +84,13 @@ def test_terms_that_round_alike_are_ranked_by_name(spark):
     terms = spark.createDataFrame([(1, ["x2"], -0.25 - 1e-12, 1.0), (1, ["x10"], 0.25, 1.0), (1, ["x3"], 0.5, 1.0)], "k int, changed array<string>, value double, whole double")
     names = lambda **how: [r["changed"] for r in sparse_stack.ranked(terms, ["k"], **how).orderBy("nth").collect()]
     assert names(digits=9) == ["x3", "x10", "x2", None] and names() == ["x3", "x2", "x10", None]
+
+
+def test_trials_meet_samples_once(spark):
+    """A sample is one row with its ways; a trial that is there twice counts once."""
+    from kilojoin.plans import mix_queries
+
+    own = spark.createDataFrame([(1, 0, [(0.9, -1.0), (0.7, 0.0), (0.5, 2.0)]), (1, 1, [(0.8, -3.0), (0.8, 1.0)])], "record_id long, idx long, ways array<struct<eta:double,store:double>>")
+    trials = spark.createDataFrame([(1, 0.0), (1, 0.0), (1, 1.0), (1, -1.0)], "record_id long, drive double")
+    got = {r["drive"]: r["balance"] for r in mix_queries.balances(own)(trials).collect()}
+    assert got == {0.0: 0.0, 1.0: 3.0, -1.0: -4.0}
