@@ -94,3 +94,15 @@ def test_trials_meet_samples_once(spark):
     trials = spark.createDataFrame([(1, 0.0), (1, 0.0), (1, 1.0), (1, -1.0)], "record_id long, drive double")
     got = {r["drive"]: r["balance"] for r in mix_queries.balances(own)(trials).collect()}
     assert got == {0.0: 0.0, 1.0: 3.0, -1.0: -4.0}
+
+
+def test_sections_are_dealt_out_by_rows(spark, monkeypatch):
+    """Tasks stay small however many rows there are, and the results are the same."""
+    from kilojoin.operators import skew
+
+    df = spark.range(600).selectExpr("id div 20 as record_id", "id % 20 as idx", "cast(id % 20 as double) as t", "'p' as sig_id", "cast(id * 7 % 11 - 5 as double) as v")
+    want = sorted(map(tuple, segment.add_zero_crossings(df).collect()))
+    monkeypatch.setattr(skew, "TASK", 50)
+    assert skew.dealt(df, "record_id").rdd.getNumPartitions() == 12
+    many = segment.add_zero_crossings(df)
+    assert many.rdd.getNumPartitions() == 12 and sorted(map(tuple, many.collect())) == want
