@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles, found with banded MinHash and checked exactly.
-
-1. Each text turns into its set of hashed shingles of WORDS words. Texts of equal sets are one code.
-2. MinHash gives BANDS keys of ROWS minima each; two codes are candidates if they share a key. Of pairs at a similarity
-   of 0.8 a share of 1 - (1 - 0.8^ROWS)^BANDS are, which is 0.9996; above it, more.
+"""Near copies by the Jaccard similarity of their sets of word shingles, found with SimHash fingerprints in Gray-order trees and checked exactly.
+
+1. Each text turns into its set of hashed shingles of WORDS words. Texts of equal sets are one code. A set has PRINTS SimHash
+   fingerprints of 64 bits, and bands of further SimHash bits.
+2. At a similarity of 0.8, the vectors of two sets are 27 degrees apart, so that each bit differs with a probability of 0.15. Bands have as many
+   bits as keep a band's buckets at BUCKET codes, and there are as many bands as give such a pair a common bucket with a probability above
+   0.999 (``shape``). In a bucket, the tree of simhash links codes whose fingerprints differ in at most MOST bits, by one fingerprint after the other: such a pair stays
+   linked with a probability of 0.999, codes that aren't alike with one of 3e-6. What is linked in a bucket shares a key.
 3. Every code of a key is compared with the smallest code of that key, by the exact similarity of the sets. This links
    nearly all of a large group at a cost that is linear in its size.
 4. Keys whose codes are still in different components are looked at again: their codes meet in tasks, cut into runs whose
-   pairs are all compared, and every two codes that share a key and are not linked yet are compared exactly.
+   pairs are all compared, and every two codes that share a bucket and are not linked yet are compared exactly.
 
 Keys, heads and groups that hold a large part of all rows are no task's own: what belongs to them goes to their rows by a broadcast
 (owner_join), and a head's set is copied once for every SALTED codes that are compared with it.
@@ -18,6 +21,7 @@ WORDS words or fewer has one shingle; words are those of the fingerprint (simhas
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilojoin.llm.common import discard, is_hot, materialise, owner_join
-from kilojoin.llm.simhash import components
+from kilojoin.llm.simhash import GrayIndex, components, gray_column, gray_rank, whole_buckets
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 20, 5
+#: Fingerprints of a set, and how many of their bits may differ.
+PRINTS, MOST = 2, 20
+#: Codes that a band's buckets should hold on average at most, and the least number of a band's bits.
+BUCKET, BITS = 256, 14
 #: Codes of one group that meet in one task; larger groups are cut into runs of half as many.
 RUN = 256
 #: Codes that are compared with one copy of a hot head's set.
 SALTED = 1000
 
-_factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_mix = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
     """The sorted different hashes of a text's word shingles."""
     own = (text or "").encode().lower().split()
@@ -54,14 +57,31 @@ def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray
     return np.unique(np.array([digest(line[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
 
 
-def keys(own: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set; none for the empty set."""
+def shape(n: int) -> tuple[int, int]:
+    """How many bands n codes need, and of how many bits."""
+    bits = BITS
+    while bits < 62 and n > BUCKET << bits:
+        bits += 1
+    return math.ceil(9 / (1 - math.acos(2 * LEAST / (1 + LEAST)) / math.pi) ** bits), bits
+
+
+def sketch(own: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """PRINTS fingerprints, then the bands, of a set: each bit is that of most of the mixed hashes; nothing for the empty set."""
     if not len(own):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), 1024):
-        np.minimum(least, (own[i : i + 1024, None] * _factors).min(0), out=least)
-    return (least.reshape(BANDS, ROWS) * _mix).sum(1, dtype=np.uint64)
+        return np.zeros(0, np.int64)
+    n = PRINTS + -(-bands * bits // 64)
+    seeds = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(64 * n, np.int64)
+    for i in range(0, len(own), 255):
+        x = own[i : i + 255, None] + seeds
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    ones = 2 * total > len(own)
+    prints = np.packbits(ones[: 64 * PRINTS], bitorder="little").view(np.int64)
+    cut = ones[64 * PRINTS : 64 * PRINTS + bands * bits].reshape(bands, bits)
+    return np.concatenate([prints, cut @ (np.int64(1) << np.arange(bits))])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,15 +89,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def sketch_column(text: Column) -> Column:
-    """struct<code, keys> of a text column: the digest of its set, and its keys."""
+def sketch_column(text: Column, bands: int, bits: int) -> Column:
+    """struct<code, prints, bands> of a text column: the digest of its set, its fingerprints and its bands."""
 
-    @F.pandas_udf("code long, keys array<long>")
+    @F.pandas_udf("code long, prints array<long>, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch]
             code = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"code": code, "keys": [keys(s).view(np.int64) for s in sets]})
+            own = [sketch(s, bands, bits) for s in sets]
+            yield pd.DataFrame({"code": code, "prints": [s[:PRINTS] for s in own], "bands": [s[PRINTS:] for s in own]})
 
     return of(text)
 
@@ -97,14 +118,39 @@ def _with_roots(linked: DataFrame) -> DataFrame:
     return linked.union(linked.select(F.col("root").alias("code"), "root").distinct())
 
 
+def candidates(codes: DataFrame) -> DataFrame:
+    """key, code: codes of one band's bucket that the trees over their fingerprints link share a key; codes: code, prints, bands."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, bounds in whole_buckets(batches, ["band", "part"]):
+            part = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            order, first = np.arange(len(own)), bounds
+            for p in range(PRINTS):
+                if p:  # what the fingerprint before has linked is a bucket for the next
+                    prints = own[f"print{p}"].to_numpy(np.int64).view(np.uint64)
+                    order = np.lexsort((gray_rank(prints), part))
+                    first = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(own))
+                label = GrayIndex(own[f"print{p}"].to_numpy(np.int64).view(np.uint64)[order], first).link(MOST)
+                part = np.empty(len(own), np.int64)
+                part[order] = order[label]
+            met = np.flatnonzero(np.bincount(part, minlength=len(own))[part] > 1)
+            root = own.iloc[part[met]]
+            yield pd.DataFrame({"band": root["band"].to_numpy(), "part": root["part"].to_numpy(), "root": root["code"].to_numpy(), "code": own["code"].to_numpy()[met]})
+
+    prints = [F.get("prints", F.lit(p)).alias(f"print{p}") for p in range(PRINTS)]
+    rows = codes.select(F.posexplode("bands").alias("band", "part"), *prints, "code").repartition("band", "part")
+    met = rows.sortWithinPartitions("band", "part", gray_column(F.col("print0"))).mapInPandas(search, "band int, part long, root long, code long")
+    return met.select(F.xxhash64("band", "part", "root").alias("key"), "code")
+
+
 def _pairs_of_runs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b: the links of codes that share a key, are in one group and in different components; rows: group, code, component; sets: code, keys, set."""
+    """a, b: the links of codes that share a bucket, are in one group and in different components; rows: group, code, component; sets: code, bands, set."""
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     rows = owner_join(rows, sizes, "group", rows.count()).join(sets, "code")
     rows = rows.withColumn("runs", F.when(F.col("n") <= RUN, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(RUN / 2)).cast("int")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), F.col("runs")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
-    rows = rows.select("group", F.least("own", "other").alias("run_a"), F.greatest("own", "other").alias("run_b"), "code", "component", "keys", "set")
+    rows = rows.select("group", F.least("own", "other").alias("run_a"), F.greatest("own", "other").alias("run_b"), "code", "component", "bands", "set")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = (r for b in batches for r in b.itertuples(index=False, name=None))
@@ -126,14 +172,15 @@ def _pairs_of_runs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
     """code, root of every code that is linked with another; marked: _uid (unique), _own (sketch) and text of every row."""
-    own = marked.select(F.col("_own.code").alias("code"), F.col("_uid").alias("uid"), F.explode("_own.keys").alias("key"))
-    pairs = materialise(own.groupBy("key", "code").agg(F.min("uid").alias("uid")), "keys")
+    one = marked.groupBy(F.col("_own.code").alias("code")).agg(F.min("_uid").alias("_uid"))
+    codes = materialise(marked.select("_uid", "_own.*").join(one.select("_uid"), "_uid", "left_semi"), "codes")
+    pairs = materialise(candidates(codes), "keys")
     heads = pairs.groupBy("key").agg(F.min("code").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(owner_join(pairs, heads, "key", pairs.count()).drop("n"), "shared")
 
-    members = shared.groupBy("code").agg(F.min("uid").alias("_uid"))
-    texts = marked.select("_uid", "text", F.col("_own.keys").alias("keys")).join(members, "_uid")
-    sets = materialise(texts.select("code", "keys", set_column(F.col("text")).alias("set")), "sets")
+    members = codes.join(shared.select("code").distinct(), "code", "left_semi").select("_uid", "code", "bands")
+    texts = marked.select("_uid", "text").join(members, "_uid")
+    sets = materialise(texts.select("code", "bands", set_column(F.col("text")).alias("set")), "sets")
 
     edges = materialise(shared.where("code <> head").select("code", "head").distinct(), "edges")
     many = edges.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(is_hot(edges.count()))
@@ -154,7 +201,7 @@ def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
     rows = materialise(rest.select("code", "component").distinct().join(met, "code"), "met")
     more = materialise(_pairs_of_runs(rows, sets, least), "more")
     out = _with_roots(components(near.unionByName(more)))
-    discard(pairs, shared, edges, sets, near, first, state, rest, rows, more)
+    discard(codes, pairs, shared, edges, sets, near, first, state, rest, rows, more)
     return out
 
 
@@ -163,7 +210,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     All columns are kept, whatever their names.
     """
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", sketch_column(F.col("text")).alias("_own"))
+    own = sketch_column(F.col("text"), *shape(docs.count()))
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", own.alias("_own"))
     marked = materialise(packed.select("*", F.xxhash64("row").alias("hash"), F.monotonically_increasing_id().alias("_uid")), "marked")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", F.col("_uid").alias("uid"))
     best = marked.groupBy(F.col("_own.code").alias("code")).agg(F.min(place).alias("best"))

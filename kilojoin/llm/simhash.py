@@ -247,29 +247,35 @@ def buckets(codes: DataFrame, most: int, blocks: int, run: int = RUN, finer: int
     return rows, large
 
 
+def whole_buckets(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that are sorted by key, in tables that hold all rows of their keys, each with the first place of every key and the end."""
+    rest: pd.DataFrame | None = None
+
+    def bounded(own: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        values = own[key].to_numpy()
+        return own, np.append(np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(1)])), len(own))
+
+    for batch in batches:
+        own = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        values = own[key].to_numpy()
+        last = int(np.flatnonzero((values != values[-1]).any(1))[-1]) + 1 if len(own) and (values != values[-1]).any() else 0
+        if last:
+            yield bounded(own.iloc[:last])
+        rest = own.iloc[last:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield bounded(rest)
+
+
 def stars(rows: DataFrame, most: int) -> DataFrame:
     """code, root: for each (mask, part, run) a star over each component in it, its root the first code in Gray order; codes of one side aren't compared, if it isn't negative."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def links(own: pd.DataFrame) -> pd.DataFrame:
+        for own, bounds in whole_buckets(batches, key):
             code = own["code"].to_numpy(np.int64).view(np.uint64)
-            new = np.flatnonzero(np.concatenate([[True], (own[key].to_numpy()[1:] != own[key].to_numpy()[:-1]).any(1)]))
-            bounds, side = np.append(new, len(own)), own["side"].to_numpy(np.int64)
+            side = own["side"].to_numpy(np.int64)
             label = GrayIndex(code, bounds).link(most, np.where(side < 0, -1 - np.arange(len(own)), side))
             away = np.flatnonzero(label != np.arange(len(label)))
-            return pd.DataFrame({"code": code[away].view(np.int64), "root": code[label[away]].view(np.int64)})
-
-        for batch in batches:
-            own = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            values = own[key].to_numpy()
-            last = int(np.flatnonzero((values != values[-1]).any(1))[-1]) + 1 if len(own) and (values != values[-1]).any() else 0
-            if last:
-                yield links(own.iloc[:last])
-            rest = own.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield links(rest)
+            yield pd.DataFrame({"code": code[away].view(np.int64), "root": code[label[away]].view(np.int64)})
 
     key = ["mask", "part", "run"]
     return rows.repartition(*key).sortWithinPartitions(*key, gray_column(F.col("code"))).mapInPandas(search, "code long, root long").distinct()

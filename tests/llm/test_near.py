@@ -77,3 +77,20 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     rows = [(5, a), (5, b), (9, near_b), (None, a), (None, c), (None, c)]
     got = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == sorted([(5, a), (5, b), (0, c)])
+
+
+def test_candidates_are_what_simhash_trees_link(spark):
+    """Nearly all pairs at a similarity of 0.8 share a key that their fingerprints give them, and texts that aren't alike share none."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(400):
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(w)
+        for at in (30, 70, 110, 150):  # 20 of 196 shingles differ
+            other[at] = "new"
+        texts += [" ".join(w), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    codes = df.select("id", near.sketch_column(F.col("text"), *near.shape(len(texts))).alias("own")).select("id", "own.*")
+    keys = near.candidates(codes).join(codes.select("id", "code"), "code").groupBy("key").agg(F.collect_set("id").alias("ids"))
+    met = {(a, b) for r in keys.collect() for a in r["ids"] for b in r["ids"] if a < b}
+    assert sum((2 * i, 2 * i + 1) in met for i in range(400)) >= 398 and all(a // 2 == b // 2 for a, b in met)
