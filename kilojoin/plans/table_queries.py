@@ -92,10 +92,8 @@ def table_transposed(spark, d):
 @query("""SELECT 'p' || user_id AS sig_id, ts_s AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts_s, event_id) - 1 AS idx FROM (SELECT user_id % 3 AS user_id, epoch_us(ts) / 1e6 AS ts_s, value, event_id FROM events)""")
 def table_power_signals(spark, d):
     """Events in three named tables of times and powers, written, read back and taken as signals."""
-    from pyspark.sql import Window
-
     rows = fx.table(spark, d, "events").select(F.concat(F.lit("p"), F.col("user_id") % 3).alias("table"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value", "event_id")
-    rows = rows.withColumn("row", (F.row_number().over(Window.partitionBy("table").orderBy("t", "event_id")) - 1).cast("int"))
+    rows = skew.ranked(rows, ["table"], ["t", "event_id"], "row").withColumn("row", F.col("row").cast("int"))
     path = _path(spark, "tables")
     readers.write_tables(rows.select("table", "row", F.posexplode(F.array("t", "value")).alias("col", "v")), path)
     return readers.power_signals(readers.read_tables(spark, path), ["p0", "p1", "p2"]).select("sig_id", "t", "v", "idx")

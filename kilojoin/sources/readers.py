@@ -1,7 +1,7 @@
 """Readers of measured signals: each gives long rows (record_id, idx, t, sig_id, v), record_id being the file.
 
-CSV and ASCII files go line by line through Spark's text reader, which cuts large files into splits; lines are numbered within
-their split and by the lines of the splits before it, so no task needs a whole file. Plot files and table files,
+CSV, ASCII and table files go line by line through Spark's text reader, which cuts large files into splits; lines are numbered within
+their split and by the lines of the splits before it, so no task needs a whole file. Plot files,
 whose blocks refer to each other, are read whole, one task for a file.
 """
 
@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kilojoin.operators.flow import small
+from kilojoin.operators.skew import TASK
+
 LONG = "record_id string, idx long, t double, sig_id string, v double"
 
 
@@ -141,14 +144,35 @@ def read_plt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """file, table, row, col, v of Modelica table files: "double name(rows,cols)", numbers, # comments; many tables a file."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, text in zip(batch["record_id"], batch["text"], strict=True):
-                yield pd.DataFrame([(file, *r) for r in parse_tables(text)], columns=["file", "table", "row", "col", "v"]).astype({"row": "int32", "col": "int32", "v": "float64"})
-
-    return _files(spark, path).mapInPandas(each, "file string, table string, row int, col int, v double")
+    """file, table, row, col, v of Modelica table files: "double name(rows,cols)", numbers, # comments; many tables a file.
+
+    Files are read by splits: numbers are counted within a split's tables, and what the splits before hold of a table is added. A head with the comment
+    "rows from n" is a piece of a table (write_tables), whose first row is n. Another number of numbers than rows x cols is an error.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    line = F.trim(F.regexp_replace(F.split_part("value", F.lit("#"), F.lit(1)), r"\s+", " "))
+    part = lambda i: F.regexp_extract(line, r"^double ?([^(]*)\(([^,]*),([^)]*)\)(.*)$", i)
+    head, start = line.startswith("double"), F.regexp_extract("value", r"# rows from (\d+)", 1)
+    whole = lambda c: F.trim(c).cast("long")
+    size = F.when(head, F.struct(F.trim(part(1)).alias("table"), whole(part(2)).alias("rows"), whole(part(3)).alias("cols"), F.when(start != "", start.cast("long")).otherwise(0).alias("start")))
+    numbers = F.transform(F.filter(F.split(F.when(head, part(4)).otherwise(line), " "), lambda x: x != ""), lambda x: x.cast("double"))
+    rows = text.select("file", "block", "at", size.alias("head"), numbers.alias("x")).where("head is not null or size(x) > 0")
+    rows = rows.withColumn("nth", F.count("head").over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("file", "block", "nth").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum(F.size("x")).over(before), F.lit(0)))
+
+    parts = rows.groupBy("file", "block", "nth").agg(F.max("head").alias("head"), F.sum(F.size("x")).alias("n"))
+    order = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("no", F.count("head").over(order)).where("no > 0")  # numbers before the first table are none's
+    table = Window.partitionBy("file", "no")
+    so_far = table.orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "block", "nth", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"), F.max("head").over(table).alias("t"), F.sum("n").over(table).alias("all"))
+    wrong = F.concat(F.lit("table "), F.col("t.table"), F.lit(" has "), F.col("all"), F.lit(" numbers, not "), F.col("t.rows"), F.lit(" x "), F.col("t.cols"))
+    parts = parts.where(F.when(F.col("all") != F.col("t.rows") * F.col("t.cols"), F.raise_error(wrong).isNull()).otherwise(True))
+    found = rows.join(small(parts), ["file", "block", "nth"]).select("file", "t", (F.col("before") + F.col("own")).alias("i"), F.posexplode("x").alias("pos", "v"))
+    at = F.col("i") + F.col("pos")
+    row = F.col("t.start") + F.floor(at / F.col("t.cols"))
+    return found.select("file", "t.table", row.cast("int").alias("row"), F.pmod(at, F.col("t.cols")).cast("int").alias("col"), "v")
 
 
 def parse_tables(text: str) -> list[tuple[str, int, int, float]]:
@@ -174,13 +198,16 @@ def parse_tables(text: str) -> list[tuple[str, int, int, float]]:
     return out
 
 
-def write_tables(tables: DataFrame, path: str) -> None:
-    """Tables (table, row, col, v) in the format that read_tables reads, one part file for each group of tables."""
+def write_tables(tables: DataFrame, path: str, piece: int = TASK) -> None:
+    """Tables (table, row from 0, col, v) in the format that read_tables reads; one of more than ``piece`` rows in pieces, each under a head with its first row."""
     rows = tables.groupBy("table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("c"))
-    rows = rows.select("table", "row", F.size("c").alias("n"), F.array_join(F.transform("c", lambda x: x["v"].cast("string")), " ").alias("line"))
-    own = rows.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("r"), F.max("n").alias("n"))
-    head = F.concat(F.lit("double "), F.col("table"), F.lit("("), F.size("r"), F.lit(","), F.col("n"), F.lit(")"))
-    own.select(F.concat_ws("\n", head, F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("")).alias("value")).write.text(path)
+    line = F.array_join(F.transform("c", lambda x: x["v"].cast("string")), " ")
+    rows = rows.select("table", F.floor(F.col("row") / piece).alias("piece"), "row", F.size("c").alias("n"), line.alias("line"))
+    size = rows.groupBy("table", "piece").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("n"))
+    note = F.when(F.col("piece") > 0, F.concat(F.lit(" # rows from "), F.col("piece") * piece)).otherwise("")
+    head = F.concat(F.lit("double "), F.col("table"), F.lit("("), F.col("many"), F.lit(","), F.col("n"), F.lit(")"), note)
+    lines = rows.select("table", "piece", "row", "line").unionByName(size.select("table", "piece", F.lit(-1).alias("row"), head.alias("line")))
+    lines.repartition("table", "piece").sortWithinPartitions("table", "piece", "row").select("line").write.text(path)
 
 
 def curve(tables: DataFrame) -> DataFrame:
