@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kilojoin.functions import exprs, types
-from kilojoin.operators import delta, flow, lookup, optimise, signal, topology
+from kilojoin.operators import delta, flow, lookup, optimise, signal, skew, topology
 from kilojoin.plans import fixtures as fx
 from kilojoin.plans import flow_queries
 from kilojoin.plans.fixtures import FLOW, SIG
@@ -191,11 +191,11 @@ def constant_chunks(spark, d):
 
 
 def _stream(spark, d):
-    """Events as files that a stream reads."""
+    """Events as files that a stream reads, all in one batch, in tasks of a bounded size."""
     source = _path(spark, "stream")
     ev = fx.table(spark, d, "events").select(F.col("user_id").cast("string").alias("record_id"), F.lit("value").alias("sig_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
-    ev.repartition(1).write.parquet(source)
-    return spark.readStream.schema(ev.schema).parquet(source)
+    ev.write.parquet(source)
+    return skew.dealt(spark.readStream.schema(ev.schema).parquet(source), "record_id", rows=ev.count())
 
 
 def _run(spark, out):
