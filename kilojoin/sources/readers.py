@@ -123,10 +123,12 @@ def read_modelica_ascii(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_plt(spark: SparkSession, path: str) -> DataFrame:
-    """Plot files: a preamble up to a blank line, "DataSet: time", then blocks "DataSet: name" of "x, y" lines, of which y counts."""
+    """Plot files: a preamble up to a blank line, "DataSet: time", then blocks "DataSet: name" of "x, y" lines, of which y counts.
+
+    A file may hold several plots, each of which begins with a line "Title: ..."; those after the first are records of their own, <file>#1, <file>#2, ...
+    """
 
     def parse(text: str):
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
         blocks: dict[str, list[float]] = {}
         name = None
         for line in text.partition("\n\n")[2].split("\n"):
@@ -140,7 +142,9 @@ def read_plt(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("a data set has another length than time")
         return list(blocks), [list(r) for r in zip(time, *blocks.values(), strict=True)]
 
-    return _read(_files(spark, path), parse)
+    own = F.regexp_replace("text", "\r\n?", "\n")
+    plots = _files(spark, path).select("record_id", F.posexplode(F.split(own, r"(?<=\n)(?=Title:)")).alias("nth", "text"))
+    return _read(plots.select(F.when(F.col("nth") == 0, F.col("record_id")).otherwise(F.concat_ws("#", "record_id", "nth")).alias("record_id"), "text"), parse)
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
