@@ -58,7 +58,7 @@ def solve(
 ) -> tuple[DataFrame, DataFrame]:
     """samples (part, dt, further keys, signals) and sections (part, scalars) with all variables of the rules and couplings that follow.
 
-    Each round writes both grains as tables; it ends when a round finds nothing new.
+    Each round writes each grain once; rounds end when all is known or a round finds nothing new.
     """
     part = list(part)
     signals = list(dict.fromkeys([*solver.variables(signal_rules), *[c.signal for c in couplings]]))
@@ -81,11 +81,11 @@ def solve(
             down.append(F.when(may & (F.col(f"c{i}_open") > 0), F.struct(left.alias("left"), F.col(f"c{i}_open").alias("n"), F.col(f"c{i}_time").alias("time"))).alias(f"c{i}"))
         owners = sections.select(*part, *down)
         sections = sections.drop(*sums.columns[len(part) :])
-        if n == before:
+        if n == before or n == samples.count() * len(signals) + sections.count() * len(scalars):
             return samples, sections
         before = n
         met = join_owner(samples, owners, part)
         for i, c in enumerate(couplings):
             share = F.when(F.col(f"c{i}.n") == 1, F.lit(1.0)).otherwise(exprs.div(F.col("dt"), F.col(f"c{i}.time")))
             met = met.withColumn(c.signal, F.coalesce(c.signal, exprs.div(F.col(f"c{i}.left") * share, c.weight())))
-        samples = cut(met.drop(*[f"c{i}" for i in range(len(couplings))]))
+        samples = met.drop(*[f"c{i}" for i in range(len(couplings))])
