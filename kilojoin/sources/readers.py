@@ -60,17 +60,23 @@ def _lines(text: str) -> list[str]:
     return [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
 
 
-def _rows(record: str, names: Sequence[str], table: Sequence[Sequence[float]]) -> pd.DataFrame:
-    """table: rows with the time first."""
-    rows = [(record, i, r[0], s, v) for i, r in enumerate(table) for s, v in zip(names, r[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["record_id", "idx", "t", "sig_id", "v"]).astype({"idx": "int64", "t": "float64", "v": "float64"})
+def _read(files: DataFrame, parse) -> DataFrame:
+    """Rows of what parse gives of each text, names and rows with the time first; many short files make one batch."""
+    columns = ["record_id", "idx", "t", "sig_id", "v"]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"idx": "int64", "t": "float64", "v": "float64"})
 
-def _read(files: DataFrame, parse) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for record, text in zip(batch["record_id"], batch["text"], strict=True):
-                yield _rows(record, *parse(text))
+                names, table = parse(text)
+                rows += [(record, i, r[0], s, v) for i, r in enumerate(table) for s, v in zip(names, r[1:], strict=True)]
+                if len(rows) >= 50_000:
+                    yield frame(rows)
+                    rows = []
+        yield frame(rows)
 
     return files.mapInPandas(each, LONG)
 
