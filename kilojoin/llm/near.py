@@ -8,11 +8,16 @@
    linked with a probability of 0.999, codes that aren't alike with one of 3e-6. What is linked in a bucket shares a key.
 3. Every code of a key is compared with the smallest code of that key, by the exact similarity of the sets. This links
    nearly all of a large group at a cost that is linear in its size.
-4. Keys whose codes are still in different components are looked at again: their codes meet in tasks, cut into runs whose
-   pairs are all compared, and every two codes that share a bucket and are not linked yet are compared exactly.
+4. Keys whose codes are still in different components are looked at again, by groups of keys that share codes. In a group of RUN
+   codes or fewer, every two codes that share a bucket and are not linked yet are compared exactly.
+5. In a larger group, most codes are too far apart from each other, so that a list of its pairs would grow with the square. Similar sets
+   have most shingles in common, so the first shingle in common, from rare to frequent, stands early in both: codes meet
+   at their rarest shingles (``prefixes``), and only if size and place still allow the similarity. No similar pair of a group is missed.
+   A code meets MEET codes of one larger component first; rounds with MEET times as many follow until none are left out,
+   and a round skips what the rounds before have linked.
 
 Keys, heads and groups that hold a large part of all rows are no task's own: what belongs to them goes to their rows by a broadcast
-(owner_join), and a head's set is copied once for every SALTED codes that are compared with it.
+(owner_join), and a hot code's set is copied once for every SALTED codes that are compared with it.
 
 Defined results: null and empty texts and texts without a word have the empty set and are copies of each other; a text of
 WORDS words or fewer has one shingle; words are those of the fingerprint (simhash).
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilojoin.llm.common import discard, is_hot, materialise, owner_join
+from kilojoin.llm.common import BROADCAST_ROWS, discard, is_hot, materialise, owner_join
 from kilojoin.llm.simhash import GrayIndex, components, gray_column, gray_rank, whole_buckets
 
 WORDS, LEAST = 5, 0.8
@@ -38,11 +43,14 @@ WORDS, LEAST = 5, 0.8
 PRINTS, MOST = 2, 20
 #: Codes that a band's buckets should hold on average at most, and the least number of a band's bits.
 BUCKET, BITS = 256, 14
-#: Codes of one group that meet in one task; larger groups are cut into runs of half as many.
+#: Codes of one group that meet in one task; in larger groups, codes meet by their rarest shingles.
 RUN = 256
-#: Codes that are compared with one copy of a hot head's set.
+#: Codes of one larger component that a code meets at a key in the first round; so many times more in each further round.
+MEET = 16
+#: Codes that are compared with one copy of a hot code's set.
 SALTED = 1000
 
+
 def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
     """The sorted different hashes of a text's word shingles."""
     own = (text or "").encode().lower().split()
@@ -143,31 +151,132 @@ def candidates(codes: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("band", "part", "root").alias("key"), "code")
 
 
-def _pairs_of_runs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b: the links of codes that share a bucket, are in one group and in different components; rows: group, code, component; sets: code, bands, set."""
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    rows = owner_join(rows, sizes, "group", rows.count()).join(sets, "code")
-    rows = rows.withColumn("runs", F.when(F.col("n") <= RUN, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(RUN / 2)).cast("int")))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), F.col("runs")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
-    rows = rows.select("group", F.least("own", "other").alias("run_a"), F.greatest("own", "other").alias("run_b"), "code", "component", "bands", "set")
+def _with_sets(pairs: DataFrame, key: str, name: str, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the set of the code in column key; a hot code's set is copied once for every SALTED of its pairs."""
+    many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(is_hot(pairs.count()))
+    many = F.broadcast(many.select(key, F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
+    salted = pairs.join(many, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))).drop("salts")
+    copies = sets.select(F.col("code").alias(key), F.col("set").alias(name)).join(many, key, "left")
+    copies = copies.select(key, name, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
+def _pairs_of_small(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: the links of codes that share a bucket, are in one group and in different components; rows: group, code, component, RUN of a group at most; sets: code, bands, set."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = (r for b in batches for r in b.itertuples(index=False, name=None))
-        for _, of_group in itertools.groupby(each, key=lambda r: r[:3]):
+        for _, of_group in itertools.groupby(each, key=lambda r: r[0]):
             found, own = [], list(of_group)
-            bands = np.array([r[5] for r in own], np.int64)
-            sets = [np.asarray(r[6], np.int64) for r in own]
-            label = np.unique([r[4] for r in own], return_inverse=True)[1]
+            bands = np.array([r[3] for r in own], np.int64)
+            sets = [np.asarray(r[4], np.int64) for r in own]
+            label = np.unique([r[2] for r in own], return_inverse=True)[1]
             for i in range(1, len(own)):
                 for j in np.flatnonzero((bands[:i] == bands[i]).any(1)):
                     if label[i] != label[j] and jaccard(sets[i], sets[j]) >= least:
-                        found.append((own[i][3], own[j][3]))
+                        found.append((own[i][1], own[j][1]))
                         label[label == label[i]] = label[j]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    key = ["group", "run_a", "run_b"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "a long, b long")
+    rows = rows.join(sets, "code").select("group", "code", "component", "bands", "set")
+    return rows.repartition("group").sortWithinPartitions("group").mapInPandas(compare, "a long, b long")
+
+
+def frequencies(own: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles (sorted) that sets of different components hold, in how many sets each is, and whether these are all; the most frequent ones, if there are more than bound."""
+    held = own.select("component", F.explode("set").alias("token")).groupBy("token")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    held, from_ = materialise(held.select("token", "n"), "frequencies"), 1
+    while held.where(F.col("n") >= from_).count() > bound:
+        from_ *= 2
+    rows = held.where(F.col("n") >= from_).sort("token").toPandas()
+    discard(held)
+    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), from_ == 1
+
+
+def prefixes(own: DataFrame, least: float) -> DataFrame:
+    """key, code, size, place: the rarest shingles of each set, and their places among its shingles, from rare to frequent; own: group, code, component, set.
+
+    A key is a shingle in a group. Shingles of one component only come first; they count in the places, but are no keys where they are known.
+    """
+    tokens, counts, whole = frequencies(own)
+
+    @F.pandas_udf("lone int, tokens array<long>")
+    def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lone, out = [], []
+            for s in batch:
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                n = np.where(tokens[at] == s, counts[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
+                lone.append(int((n == 0).sum()) if whole else 0)
+                # a later one can't be the first that two similar sets have in common
+                out.append(s[np.lexsort((s, n))][lone[-1] : len(s) - math.ceil(least * len(s) - 1e-9) + 1])
+            yield pd.DataFrame({"lone": lone, "tokens": out})
+
+    rows = own.select("group", "code", F.size("set").alias("size"), rarest("set").alias("own"))
+    rows = rows.select("group", "code", "size", "own.lone", F.posexplode("own.tokens").alias("at", "token"))
+    return rows.select(F.xxhash64("group", "token").alias("key"), "code", "size", (F.col("lone") + F.col("at")).alias("place"))
+
+
+def _meetings(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """a, b, cut: codes of different components whose first common shingle may be a key of both; rows: key, code, component, size, place.
+
+    A code meets ``most`` codes of a larger component at a key, and cut says where there are more.
+    """
+
+    def found(own: pd.DataFrame, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        codes, sizes, places = (own[c].to_numpy(np.int64) for c in ("code", "size", "place"))
+        for lo, hi in itertools.pairwise(bounds):
+            label, n = np.unique(own["component"].to_numpy(np.int64)[lo:hi], return_inverse=True, return_counts=True)[1:]
+            rank = np.argsort(np.argsort(n, kind="stable"))[label]
+            code, size, left = codes[lo:hi], sizes[lo:hi], sizes[lo:hi] - places[lo:hi]
+            for i in np.flatnonzero(rank < len(n) - 1):
+                # what two sets have in common is not more than what either has from their first common shingle on
+                need = np.ceil(least / (1 + least) * (size + size[i]) - 1e-9)
+                other = np.flatnonzero((rank > rank[i]) & (np.minimum(left, left[i]) >= need))
+                if not len(other):
+                    continue
+                other = np.roll(other, -np.searchsorted(other, i))
+                other = other[np.argsort(rank[other], kind="stable")]
+                first = np.searchsorted(rank[other], rank[other])
+                keep = np.arange(len(other)) - first < most
+                yield np.full(keep.sum(), code[i]), code[other[keep]], np.full(keep.sum(), not keep.all())
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (x for own, bounds in whole_buckets(batches, ["key"]) for x in found(own, bounds))
+        while some := list(itertools.islice(each, 1000)):
+            yield pd.DataFrame(dict(zip(("a", "b", "cut"), map(np.concatenate, zip(*some, strict=True)), strict=True)))
+
+    rows = rows.select("key", "code", "component", "size", "place")
+    return rows.repartition("key").sortWithinPartitions("key", "code").mapInPandas(meet, "a long, b long, cut boolean")
+
+
+def _pairs_of_large(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links that join every two similar codes of one group that are in different components; rows: group, code, component; sets: code, set."""
+    own = materialise(rows.join(sets, "code").select("group", "code", "component", "set"), "large")
+    index = materialise(prefixes(own, least), "prefixes")
+    now, most, links = own.select("code", "component"), MEET, None
+    while True:
+        met = materialise(_meetings(index.join(now, "code"), least, most), "meetings")
+        pairs = materialise(met.select("a", "b").distinct(), "pairs")
+        found = materialise(_alike(pairs, own, least), "links")
+        links = found if links is None else links.unionByName(found)
+        left = met.where("cut").limit(1).count()
+        discard(met, pairs)
+        if not left:
+            break
+        joined = _with_roots(components(links.unionByName(own.select(F.col("code").alias("a"), F.col("component").alias("b")))))
+        now = materialise(own.select("code", "component").join(joined, "code", "left").select("code", F.coalesce("root", "component").alias("component")), "now")
+        most *= MEET
+    discard(own, index)
+    return links
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    both = F.size(F.array_intersect("x", "y"))
+    sides = _with_sets(_with_sets(pairs, "a", "x", sets), "b", "y", sets)
+    return sides.where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
 
 
 def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
@@ -182,15 +291,8 @@ def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
     texts = marked.select("_uid", "text").join(members, "_uid")
     sets = materialise(texts.select("code", "bands", set_column(F.col("text")).alias("set")), "sets")
 
-    edges = materialise(shared.where("code <> head").select("code", "head").distinct(), "edges")
-    many = edges.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(is_hot(edges.count()))
-    many = F.broadcast(many.select("head", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
-    salted = edges.join(many, "head", "left").select("code", "head", F.coalesce(F.pmod(F.xxhash64("code"), "salts").cast("int"), F.lit(0)).alias("salt"))
-    copies = sets.select(F.col("code").alias("head"), F.col("set").alias("y")).join(many, "head", "left")
-    copies = copies.select("head", "y", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    sides = salted.join(sets.select("code", F.col("set").alias("x")), "code").join(copies, ["head", "salt"])
-    both = F.size(F.array_intersect("x", "y"))
-    near = materialise(sides.where(both / (F.size("x") + F.size("y") - both) >= least).select(F.col("code").alias("a"), F.col("head").alias("b")), "near")
+    edges = materialise(shared.where("code <> head").select(F.col("code").alias("a"), F.col("head").alias("b")).distinct(), "edges")
+    near = materialise(_alike(edges, sets, least), "near")
     first = materialise(_with_roots(components(near)), "first")
 
     # keys that hold codes of more than one component
@@ -199,9 +301,15 @@ def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
     rest = materialise(owner_join(state, open_, "key", state.count()).drop("low", "high", "n"), "rest")
     met = _with_roots(components(rest.select(F.col("code").alias("a"), F.col("head").alias("b")))).withColumnRenamed("root", "group")
     rows = materialise(rest.select("code", "component").distinct().join(met, "code"), "met")
-    more = materialise(_pairs_of_runs(rows, sets, least), "more")
-    out = _with_roots(components(near.unionByName(more)))
-    discard(codes, pairs, shared, edges, sets, near, first, state, rest, rows, more)
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    sized = materialise(owner_join(rows, sizes, "group", rows.count()), "sized")
+    small, large = sized.where(F.col("n") <= RUN), sized.where(F.col("n") > RUN)
+    more = materialise(_pairs_of_small(small, sets, least), "more")
+    links = near.unionByName(more)
+    if large.limit(1).count():
+        links = links.unionByName(_pairs_of_large(large, sets, least))
+    out = _with_roots(components(links))
+    discard(codes, pairs, shared, edges, sets, near, first, state, rest, rows, sized, more)
     return out
 
 

@@ -94,3 +94,38 @@ def test_candidates_are_what_simhash_trees_link(spark):
     keys = near.candidates(codes).join(codes.select("id", "code"), "code").groupBy("key").agg(F.collect_set("id").alias("ids"))
     met = {(a, b) for r in keys.collect() for a in r["ids"] for b in r["ids"] if a < b}
     assert sum((2 * i, 2 * i + 1) in met for i in range(400)) >= 398 and all(a // 2 == b // 2 for a, b in met)
+
+
+def test_rows_of_a_group_of_texts_too_far_apart_grow_with_the_texts(spark, monkeypatch):
+    """A group that its keys hold together but whose texts are too far apart makes no list of its pairs, and its similar pairs are found, however few meet at first."""
+    monkeypatch.setattr(near, "RUN", 2)
+    monkeypatch.setattr(near, "MEET", 1, raising=False)
+    rng, met = random.Random(5), []
+    texts = copies(rng, 1, 360, [6, 7, 9, 5])
+    for i in range(40):
+        w = texts[i].split()
+        w[rng.randrange(195, 200)] = f"y{i}"
+        texts.append(" ".join(w))
+    kind = type(spark.range(0))
+    of = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, *a, **b: met.append(self.count()) or of(self, *a, **b))
+    first = {}
+    for i, g in enumerate(plain_groups(texts)):
+        first.setdefault(g, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == sorted(first.values())
+    assert 200 < len(first) < 361 and max(met) <= 100 * len(texts)
+
+
+@pytest.mark.parametrize("bound", [10**6, 40])
+def test_similar_sets_of_different_components_meet_at_a_rare_shingle(spark, monkeypatch, bound):
+    """Also where only the most frequent shingles are known."""
+    of = near.frequencies
+    monkeypatch.setattr(near, "frequencies", lambda own: of(own, bound))
+    rng = random.Random(8)
+    sets = [sorted({t for t in range(60) if rng.random() < 0.9} | {rng.randrange(60, 10**6) for _ in range(i % 9)}) for i in range(80)]
+    similar = {(i, j) for i in range(80) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    own = spark.createDataFrame([(0, i, i, x) for i, x in enumerate(sets)], "group long, code long, component long, set array<long>")
+    rows = near.prefixes(own, 0.8).join(own.select("code", "component"), "code")
+    met = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in near._meetings(rows, 0.8, 10**6).collect()}
+    assert similar and similar <= met and len(met) < 80 * 79 / 2
