@@ -189,9 +189,9 @@ def frequencies(own: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[np.ndarray
     held, from_ = materialise(held.select("token", "n"), "frequencies"), 1
     while held.where(F.col("n") >= from_).count() > bound:
         from_ *= 2
-    rows = held.where(F.col("n") >= from_).sort("token").toPandas()
+    rows = held.where(F.col("n") >= from_).sort("token").toArrow()
     discard(held)
-    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), from_ == 1
+    return rows["token"].to_numpy(), rows["n"].to_numpy(), from_ == 1
 
 
 def prefixes(own: DataFrame, least: float) -> DataFrame:
@@ -299,17 +299,22 @@ def groups(marked: DataFrame, least: float = LEAST) -> DataFrame:
     state = materialise(shared.join(first, "code", "left").select("key", "code", "head", F.coalesce("root", "code").alias("component")), "state")
     open_ = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     rest = materialise(owner_join(state, open_, "key", state.count()).drop("low", "high", "n"), "rest")
-    met = _with_roots(components(rest.select(F.col("code").alias("a"), F.col("head").alias("b")))).withColumnRenamed("root", "group")
-    rows = materialise(rest.select("code", "component").distinct().join(met, "code"), "met")
+    own = rest.groupBy("code").agg(F.min("component").alias("component"), F.collect_set("head").alias("heads"))
+    own = materialise(own.withColumn("lead", F.array_min("heads")), "own")
+    # one group for all heads of a code: edges between heads, of which there are far fewer than codes
+    met = _with_roots(components(own.where(F.size("heads") > 1).select(F.explode("heads").alias("a"), F.col("lead").alias("b"))))
+    leads = own.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).join(met.withColumnRenamed("code", "lead"), "lead", "left")
+    rows = owner_join(own.select("code", "component", "lead"), leads, "lead", own.count())
+    rows = materialise(rows.select("code", "component", F.coalesce("root", "lead").alias("group")), "met")
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     sized = materialise(owner_join(rows, sizes, "group", rows.count()), "sized")
     small, large = sized.where(F.col("n") <= RUN), sized.where(F.col("n") > RUN)
     more = materialise(_pairs_of_small(small, sets, least), "more")
-    links = near.unionByName(more)
+    links = first.where("code <> root").toDF("a", "b").unionByName(more)
     if large.limit(1).count():
         links = links.unionByName(_pairs_of_large(large, sets, least))
     out = _with_roots(components(links))
-    discard(codes, pairs, shared, edges, sets, near, first, state, rest, rows, sized, more)
+    discard(codes, pairs, shared, edges, sets, near, first, state, rest, own, rows, sized, more)
     return out
 
 

@@ -305,28 +305,36 @@ def links(codes: DataFrame, most: int, blocks: int, run: int = RUN, finer: int =
 # components -----------------------------------------------------------------------------------------
 
 
+def _ends(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges (a, b) there are, and whether they are stars already: no a has two edges or is another's b."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    more = (F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("n") > F.col("ups")))
+    n, open_ = ends.agg(F.sum("ups"), F.max(more)).first()
+    return n or 0, bool(open_)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) of every node of an edge table, by large-star and small-star rounds.
 
     Every round is two joins of the edges with one row for each node, and its result is a table in the shared
-    folder; the driver only reads counts. The root of a large component has most of its edges: such nodes go to their edges by a
-    broadcast (owner_join).
+    folder; the driver only reads counts. Rounds end when all edges lead to the smallest node of a star. The root of a large
+    component has most of its edges: such nodes go to their edges by a broadcast (owner_join).
     """
-    edges = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    edges = materialise(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     while True:
+        total, more = _ends(edges)
+        if not more:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = owner_join(both.where("b > a"), least, "a", 2 * edges.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), "large")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = owner_join(down, least, "a", large.count()).select("b", "m").union(least.select("a", "m")).toDF("a", "b")
+        large = owner_join(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large.distinct(), "large")  # total edges at most; a > b, as m is not more than the a it comes from
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = owner_join(large, least, "a", total).select("b", "m").union(least.select("a", "m")).toDF("a", "b")
         small = materialise(small.where("a <> b").distinct(), "small")
-        moved = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
         discard(edges, large)
         edges = small
-        if not moved:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 # the operator ---------------------------------------------------------------------------------------

@@ -129,3 +129,17 @@ def test_similar_sets_of_different_components_meet_at_a_rare_shingle(spark, monk
     rows = near.prefixes(own, 0.8).join(own.select("code", "component"), "code")
     met = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in near._meetings(rows, 0.8, 10**6).collect()}
     assert similar and similar <= met and len(met) < 80 * 79 / 2
+
+
+def test_rows_of_components_grow_with_the_codes_of_a_group(spark, monkeypatch):
+    """A large group whose codes share keys with many heads makes no edge for each code and head: components() gets few edges for a code."""
+    given, of = [], near.components
+    monkeypatch.setattr(near, "components", lambda edges, *a: given.append(edges.distinct().count()) or of(edges, *a))
+    texts = copies(random.Random(5), 1, 400, [6, 7, 9, 5])
+    first = {}
+    for i, g in enumerate(plain_groups(texts)):
+        first.setdefault(g, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == sorted(first.values())
+    print(given)
+    assert sum(given) <= 4 * len(texts)

@@ -146,6 +146,19 @@ def test_components_around_hot_roots(spark):
     assert got == {(0, 100_301), (300_000, 50), (400_000, 5_000)}
 
 
+def test_components_end_when_all_edges_are_stars(spark, monkeypatch):
+    """Stars take no round, whichever way their edges point, and a chain or two roots of one node take rounds until they are one star."""
+    written, of = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: written.append(name) or of(df, name))
+    got = {}
+    for name, edges in {"stars": [(1, 2), (3, 1), (7, 9), (1, 4)], "chain": [(i, i + 1) for i in range(9)], "roots": [(5, 1), (5, 2), (6, 2)], "none": [(3, 3)]}.items():
+        written.clear()
+        rows = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        got[name] = rows, written.count("small")
+    assert got["stars"] == ({2: 1, 3: 1, 4: 1, 9: 7}, 0) and got["none"] == ({}, 0)
+    assert got["chain"][0] == dict.fromkeys(range(1, 10), 0) and got["roots"][0] == {5: 1, 2: 1, 6: 1}
+
+
 def test_owner_join_keeps_hot_rows_off_single_tasks(spark):
     """Rows of a hot key stay where they are; results are those of a plain join."""
     from kilojoin.llm.common import owner_join
