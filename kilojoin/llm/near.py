@@ -151,11 +151,11 @@ def candidates(codes: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("band", "part", "root").alias("key"), "code")
 
 
-def _with_sets(pairs: DataFrame, key: str, name: str, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the set of the code in column key; a hot code's set is copied once for every SALTED of its pairs."""
-    many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(is_hot(pairs.count()))
+def _with_sets(rows: DataFrame, pairs: DataFrame, total: int, key: str, name: str, sets: DataFrame) -> DataFrame:
+    """rows, one for each of the total pairs (a, b), with the set of the code in column key; a hot code's set is copied once for every SALTED of its pairs."""
+    many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(is_hot(total))
     many = F.broadcast(many.select(key, F.ceil(F.col("n") / SALTED).cast("int").alias("salts")))
-    salted = pairs.join(many, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))).drop("salts")
+    salted = rows.join(many, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts").cast("int"), F.lit(0))).drop("salts")
     copies = sets.select(F.col("code").alias(key), F.col("set").alias(name)).join(many, key, "left")
     copies = copies.select(key, name, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     return salted.join(copies, [key, "salt"]).drop("salt")
@@ -275,7 +275,8 @@ def _pairs_of_large(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     both = F.size(F.array_intersect("x", "y"))
-    sides = _with_sets(_with_sets(pairs, "a", "x", sets), "b", "y", sets)
+    total = pairs.count()
+    sides = _with_sets(_with_sets(pairs, pairs, total, "a", "x", sets), pairs, total, "b", "y", sets)
     return sides.where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
 
 

@@ -141,5 +141,14 @@ def test_rows_of_components_grow_with_the_codes_of_a_group(spark, monkeypatch):
         first.setdefault(g, i)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == sorted(first.values())
-    print(given)
     assert sum(given) <= 4 * len(texts)
+
+
+def test_sets_are_joined_once_for_the_pairs(spark, monkeypatch):
+    """Hot codes are counted in the pairs, not in what the first join with the sets has made of them."""
+    counted, kind = [], type(spark.range(0))
+    of = kind.count
+    monkeypatch.setattr(kind, "count", lambda self: counted.append(self.columns) or of(self))
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4, 5]), (3, [8, 9])], "code long, set array<long>")
+    got = near._alike(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), sets, 0.8).collect()
+    assert [tuple(r) for r in got] == [(1, 2)] and counted == [["a", "b"]]
